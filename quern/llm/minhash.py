@@ -21,6 +21,8 @@ ROWS, MISS = 5, 1e-7
 AGREE = 0.6
 #: Largest share of a cluster that one task compares with another one: nodes, shingles.
 CHUNK_NODES, CHUNK_SHINGLES = 512, 1 << 19
+#: Keys to which the sets of a cluster of several parts are spread.
+SALTS = 64
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -255,7 +257,10 @@ def near_duplicates(
     chunks = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("total"))
     chunks = durable(chunks.select("cluster", F.greatest(F.ceil(F.col("nodes") / CHUNK_NODES), F.ceil(F.col("total") / CHUNK_SHINGLES)).cast("int").alias("parts")))
     # A cluster of p parts is dealt to p (p + 1) / 2 tasks; each holds the nodes of two parts.
-    dealt = sets.join(chunks, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # The few clusters of several parts are matched by salted keys, as one may hold a large share of the sets.
+    salted = chunks.where("parts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = sets.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["cluster", "salt"], "left")
+    dealt = dealt.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "members")
     confirm = partial(_confirm, num=num, den=den, k=rows * bands, seed=seed, agree=agree)

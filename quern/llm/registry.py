@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import exact_dedup, fixity, language, minhash, packing, piece_codec, url_rules
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
+    "op4_fixity_audit": fixity.query,
+    "op6_pack": packing.query,
+    "op7_piece_codec": piece_codec.query,
+    "op8_exact_dedup": exact_dedup.query,
+    "op9_language_id": language.query,
+    "op10_url_rules": url_rules.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_fixity_audit": fixity.SQL,
+    "op8_exact_dedup": exact_dedup.SQL,
+    "op10_url_rules": url_rules.SQL,
+}
