@@ -2,89 +2,135 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ragged, segment_sums, slices, starts_of, table, word_codes
+from .common import ragged, segment_sums, slices, starts_of, table
 
 #: Longest window, shortest tier to which documents are routed, tokens of a step group.
 LONGEST, SHORTEST, STEP_TOKENS = 4096, 512, 1 << 17
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
+#: Letters and other characters whose words are cut without the library, and the cut.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(rf"[!-&(-~{_LETTERS}]+")
+_CUT = re.compile(rf"[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+#: The cut of words for which the above holds.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character by which byte-level tokenizers write each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Numbered(dict):
+    """Numbers keys in the order in which they are first looked up."""
+
+    def __missing__(self, key: bytes) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer of the tokenizers library that drops white space.
 
     Such a tokenizer never joins what ASCII white space parts, so each distinct
-    word is encoded once and remembered. ``separator`` is one of its special
-    tokens; it parts the words of a bulk call.
+    word is encoded once and remembered. Words of ASCII without an apostrophe and
+    of Latin-1 letters are cut here and merged by the library's model, where the
+    tokenizer normalises and cuts as expected; the library encodes all others whole.
     """
 
-    def __init__(self, path: str, separator: str):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.separator = Tokenizer.from_file(path), separator
-        self.cut = self.tokenizer.token_to_id(separator)
-        specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = lambda word: any(s in word for s in specials)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        form = json.loads(self.tokenizer.to_str())
+        steps, cuts = (form.get("normalizer") or {}).get("normalizers", []), (form.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.expected = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": _PATTERN}
+        self.specials = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.written = _byte_letters()
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbered()
+        self.merged: dict[str, list[int]] = {}
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
         self.at, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if not self.special(w)]
-        runs = []
-        for i in range(0, len(plain), 256):
-            part = plain[i : i + 256]
-            got = np.array(self.tokenizer.encode(self.separator.join(w.decode() for w in part), add_special_tokens=False).ids, np.uint32)
-            cuts = np.concatenate(([-1], np.flatnonzero(got == self.cut), [len(got)]))
-            runs.append((part, got[got != self.cut], np.diff(cuts) - 1))
-        for w in words:
-            if self.special(w):
-                got = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32)
-                runs.append(([w], got, np.array([len(got)])))
-        for part, got, sizes in runs:
-            while self.used + len(got) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            while len(self.known) + len(part) > len(self.at):
-                self.at, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size))
-            n = len(self.known)
-            self.ids[self.used : self.used + len(got)] = got
-            self.at[n : n + len(part)], self.size[n : n + len(part)] = self.used + starts_of(sizes), sizes
-            self.used += len(got)
-            self.known.update(zip(part, range(n, n + len(part)), strict=True))
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.merged.get(piece)
+        if ids is None:
+            written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.written)
+            ids = self.merged[piece] = [t.id for t in self.merge(written)]
+        return ids
+
+    def _word(self, word: bytes) -> list[int]:
+        text = word.decode()
+        if self.expected and word.isalpha():  # ASCII letters alone
+            return self._piece(text.lower())
+        if not self.expected or not _PLAIN.fullmatch(text) or (b"<" in word and any(s in word.lower() for s in self.specials)):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        text = text.lower()
+        if text.isalpha():
+            return self._piece(text)
+        return [i for piece in _CUT.findall(text) for i in self._piece(piece)]
+
+    def _learn(self, first: int) -> None:
+        """Encode the words from number ``first`` on."""
+        lists = [self._word(w) for w in islice(self.known, first, None)]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        n, m = first + len(lists), int(sizes.sum())
+        while self.used + m > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while n > len(self.at):
+            self.at, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size))
+        self.ids[self.used : self.used + m] = np.fromiter(chain.from_iterable(lists), np.uint32, m)
+        self.at[first:n], self.size[first:n] = self.used + starts_of(sizes), sizes
+        self.used += m
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``end_id`` after it, and the number of ids of each."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        codes, distinct, words = word_codes(texts, lower=False)
-        self._learn([w for w in distinct.tolist() if w not in self.known])
-        known = np.fromiter(map(self.known.__getitem__, distinct.tolist()), np.int64, len(distinct))[codes] if len(codes) else codes
+        first = len(self.known)
+        words: list[bytes] = []
+        in_text = np.empty(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            # Case is folded anyway; folding it here leaves fewer distinct words.
+            own = (t.lower() if self.expected and b"<" not in t else t).split()
+            in_text[i] = len(own)
+            words += own
+        known = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self._learn(first)
         sizes = self.size[known]
-        counts = segment_sums(sizes, words).astype(np.int64)
+        counts = segment_sums(sizes, in_text).astype(np.int64)
         out = np.full(int(counts.sum()) + len(texts), end_id, np.uint32)
         out[ragged(starts_of(counts + 1), counts)] = self.ids[ragged(self.at[known], sizes)]
         return out, counts + 1
 
 
 @lru_cache(maxsize=2)
-def word_tokenizer(path: str, separator: str) -> WordTokenizer:
-    return WordTokenizer(path, separator)
+def word_tokenizer(path: str) -> WordTokenizer:
+    return WordTokenizer(path)
 
 
 class Packer:
@@ -196,8 +242,8 @@ class Packer:
         return out
 
 
-def _packed(batches: Iterator[pa.RecordBatch], path: str, separator: str, end_id: int, longest: int, shortest: int, step_tokens: int) -> Iterator[pa.RecordBatch]:
-    tokenizer = word_tokenizer(path, separator)
+def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, longest: int, shortest: int, step_tokens: int) -> Iterator[pa.RecordBatch]:
+    tokenizer = word_tokenizer(path)
     packer = Packer(TaskContext.get().partitionId() << 40, longest, shortest, step_tokens)
     for batch in batches:
         for own, texts in slices(batch):
@@ -215,7 +261,6 @@ def pack_documents(
     docs: DataFrame,
     path: str,
     *,
-    separator: str = "<|endoftext|>",
     end_id: int = 2,
     longest: int = LONGEST,
     shortest: int = SHORTEST,
@@ -237,7 +282,7 @@ def pack_documents(
     Defined cases. Null or empty text: the end id alone. A null doc_id stays null.
     Repeated rows are packed each. No documents: no rows. Other columns are ignored.
     """
-    fn = partial(_packed, path=path, separator=separator, end_id=end_id, longest=longest, shortest=shortest, step_tokens=step_tokens)
+    fn = partial(_packed, path=path, end_id=end_id, longest=longest, shortest=shortest, step_tokens=step_tokens)
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(fn, _SCHEMA)
 
 

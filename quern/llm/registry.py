@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fixity, language, minhash, packing, piece_codec, url_rules
+from . import ctw, exact_dedup, fixity, language, minhash, packing, piece_codec, sharding, url_rules
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
+    "op3_context_tree_score": ctw.query,
     "op4_fixity_audit": fixity.query,
+    "op5_balanced_shards": sharding.query,
     "op6_pack": packing.query,
     "op7_piece_codec": piece_codec.query,
     "op8_exact_dedup": exact_dedup.query,
