@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ragged, slices, starts_of, table
 
@@ -199,6 +200,24 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, penalty: float
     )
 
 
+def _judged(batches: Iterator[pa.RecordBatch], model, penalty: float, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for own, _ in slices(batch):
+            for found in _inferred(iter([own.select([*keep, "text"])]), model, penalty):
+                letter = [any(map(str.isalpha, t or "")) for t in own.column(own.schema.get_field_index("text")).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(found.column(i) for i in range(len(keep) + 2)), pa.array(letter)], names=[*keep, "lang_pred", "score", "has_letter"])
+
+
+def with_main_language(rows: DataFrame, model: LanguageModel, *, penalty: float = PENALTY) -> DataFrame:
+    """``rows`` (columns ``row``, a struct, and ``text``) as ``row``, ``lang_pred``, ``score``, ``has_letter``.
+
+    The struct carries a whole row, whatever its columns' names, past the inference.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([rows.schema["row"]]).add("lang_pred", "string").add("score", "double").add("has_letter", "boolean")
+    return rows.select("row", "text").mapInArrow(partial(_judged, model=shared, penalty=penalty, keep=["row"]), schema)
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """True for rows outside the training set: crc32 of the id as text, modulo ``parts``, is ``part``."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ctw, exact_dedup, fixity, language, minhash, packing, piece_codec, sharding, url_rules
+from . import audio, ctw, exact_dedup, fixity, language, minhash, packing, piece_codec, sharding, url_rules
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
+    "op2_audio_fingerprint": audio.query,
     "op3_context_tree_score": ctw.query,
     "op4_fixity_audit": fixity.query,
     "op5_balanced_shards": sharding.query,
