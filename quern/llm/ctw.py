@@ -47,6 +47,12 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1) - np.log(np.pi)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending, by sorting."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def byte_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of the texts, each with the ``depth`` bytes before it, as numbered grams.
 
@@ -63,7 +69,8 @@ def byte_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray,
     code, size = renumber[flat], len(present)
     now, values = code, present.astype(np.int64)
     for step in range(1, depth + 1):
-        key = now[:-1].astype(np.int64) * size + code[step:]
+        wide = np.int32 if len(values) * size < 1 << 31 else np.int64
+        key = now[:-1].astype(wide, copy=False) * wide(size) + code[step:]
         if step == depth:  # drop what spans two texts
             key = key[ragged(starts_of(lengths + depth), lengths)]
         if len(values) * size <= max(1 << 20, 4 * len(key)):
@@ -105,7 +112,7 @@ def _block_words(texts: list[bytes], parts: int) -> tuple[np.ndarray, list[bytes
     h = pd.util.hash_array(distinct, categorize=False) if len(distinct) else np.zeros(0, np.uint64)
     part = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
     order = np.lexsort((h, part))
-    if len(np.unique(h)) < len(h):
+    if len(_distinct(h)) < len(h):
         order = np.array(sorted(range(len(h)), key=lambda i: (part[i], h[i], distinct[i])))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -119,7 +126,7 @@ def _gram_part(grams: np.ndarray, parts: int) -> np.ndarray:
 
 def _block_grams(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of a block in a fixed order, by part and value, and their parts."""
-    grams = np.unique(np.concatenate([values for _, values, _ in runs]))
+    grams = _distinct(np.concatenate([values for _, values, _ in runs]))
     part = _gram_part(grams, parts)
     order = np.argsort(part, kind="stable")
     return grams[order], part[order]
@@ -388,7 +395,8 @@ def score_texts(docs: DataFrame, *, depth: int = DEPTH) -> DataFrame:
         raise ValueError("depth must be 3 to 6")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, parts = clamp_partitions(total, BLOCK_BYTES), clamp_partitions(total, PART_BYTES)
+    blocks = clamp_partitions(total, BLOCK_BYTES, docs.sparkSession.sparkContext.defaultParallelism)
+    parts = clamp_partitions(total, PART_BYTES)
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def grouped(df: DataFrame, key: str, f, schema: str, **more) -> DataFrame:
