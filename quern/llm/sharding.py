@@ -9,36 +9,41 @@ from pyspark.sql import functions as F
 from .common import clamp_partitions, durable, table
 
 #: Most rounds, priority bands in which moves to a shard are admitted, rows of a ranking bucket.
-ROUNDS, BANDS, BUCKET_ROWS = 10, 1024, 1 << 14
+ROUNDS, BANDS, BUCKET_ROWS = 12, 1024, 1 << 14
 
 
 def _propagate(cells: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
     """Move cells (``gid``, ``init``, ``c`` rows, ``shard``) to their group's largest shard under quotas.
 
     A cell's neighbours are the other cells of its group. In each round a cell
-    proposes to go where most of its neighbours' rows are. Proposals to a shard
-    are admitted by bands of hashed groups while they fit what the shard has free.
-    The driver sees sums by shard and by shard and band only.
+    proposes to go where most of its neighbours' rows are, among the shards with
+    room for a cell, unless more are where it is (ties: the lower shard). Proposals
+    to a shard are admitted by bands of hashed cells while they fit what the shard
+    has free. The driver sees sums by shard and by shard and band only.
     """
     for round_ in range(rounds):
-        sums = cells.groupBy("gid", "shard").agg(F.sum("c").alias("w"))
-        target = durable(sums.groupBy("gid").agg(F.max_by("shard", F.struct("w", -F.col("shard"))).alias("target")))
-        proposed = cells.join(target, "gid").withColumn("band", F.pmod(F.xxhash64("gid", F.lit(round_)), F.lit(BANDS)))
-        proposed = durable(proposed)
-        moving = F.col("shard") != F.col("target")
-        load = dict(proposed.groupBy("shard").agg(F.sum("c")).collect())
-        asked = proposed.where(moving).groupBy("target", "band").agg(F.sum("c").alias("n")).orderBy("target", "band").collect()
+        load = dict(cells.groupBy("shard").agg(F.sum("c")).collect())
         free = [q - load.get(s, 0) for s, q in enumerate(quotas)]
+        sums = cells.groupBy("gid", "shard").agg(F.sum("c").alias("w"), F.min("c").alias("least"))
+        # At most one entry a shard.
+        groups = sums.groupBy("gid").agg(F.collect_list(F.struct("w", (-F.col("shard")).alias("back"))).alias("at"), F.min("least").alias("least"))
+        roomy = F.filter("at", lambda e: _by_shard(free, -e.back) >= F.col("least"))
+        groups = durable(groups.select("gid", F.array_max(roomy).alias("best"), "at"))
+        own = F.get(F.filter("at", lambda e: e.back == -F.col("shard")), F.lit(0))
+        moves = cells.join(groups, "gid").where(F.col("best") > own)
+        band = F.pmod(F.xxhash64("gid", "init", F.lit(round_)), F.lit(BANDS))
+        moves = durable(moves.select("gid", "init", "c", (-F.col("best.back")).alias("target"), band.alias("band")))
+        asked = moves.groupBy("target", "band").agg(F.sum("c").alias("n")).orderBy("target", "band").collect()
         admitted = []
-        for target_, band, n in asked:
-            if n <= free[target_]:
-                free[target_] -= n
-                admitted.append((target_, band))
+        for target, band_, n in asked:
+            if n <= free[target]:
+                free[target] -= n
+                admitted.append((target, band_))
         if not admitted:
             break
-        yes = cells.sparkSession.createDataFrame(admitted, "target int, band long").withColumn("yes", F.lit(True))
-        moved = proposed.join(F.broadcast(yes), ["target", "band"], "left")
-        cells = durable(moved.select("gid", "init", "c", F.when(F.col("yes"), F.col("target")).otherwise(F.col("shard")).alias("shard")))
+        yes = cells.sparkSession.createDataFrame(admitted, "target int, band long")
+        moved = moves.join(F.broadcast(yes), ["target", "band"], "left_semi").select("gid", "init", "target")
+        cells = durable(cells.join(moved, ["gid", "init"], "left").select("gid", "init", "c", F.coalesce("target", "shard").alias("shard")))
     return cells
 
 
@@ -48,7 +53,7 @@ def _ranked(rows: DataFrame, key: str, total: int, order: list[str]) -> DataFram
     Rows are numbered within buckets of bounded size, and a bucket begins where
     the buckets before it end.
     """
-    buckets = clamp_partitions(total, BUCKET_ROWS, 64)
+    buckets = clamp_partitions(total, BUCKET_ROWS, 512)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     sizes = rows.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy(key).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
