@@ -17,8 +17,10 @@ from .components import connected_components
 
 #: Rows of a band, and the probability with which a pair at the least similarity may share no band.
 ROWS, MISS = 5, 1e-7
-#: Signature agreement under which a pair is not confirmed on its full sets (over 5 standard deviations below 0.8).
-AGREE = 0.6
+#: Standard deviations by which a signature may fall short of the least similarity before a pair is passed over.
+DEVIATIONS = 6
+#: Bytes of text that are worked on together.
+SLICE = 2 << 20
 #: Largest share of a cluster that one task compares with another one: nodes, shingles.
 CHUNK_NODES, CHUNK_SHINGLES = 512, 1 << 19
 #: Keys to which the sets of a cluster of several parts are spread.
@@ -105,7 +107,7 @@ def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
 def _sketch(batches: Iterator[pa.RecordBatch], width: int, rows: int, bands: int, seed: int) -> Iterator[pa.RecordBatch]:
     family = hash_family(rows * bands, seed)
     for batch in batches:
-        for own, texts in slices(batch, "text"):
+        for own, texts in slices(batch, limit=SLICE):
             sets, counts = shingle_sets(texts, width)
             sig = signatures(sets, counts, family).astype(np.uint64).reshape(len(texts), bands, rows)
             h = np.broadcast_to(np.arange(bands, dtype=np.uint64), sig.shape[:2])
@@ -126,7 +128,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, rows: int, bands: int
 
 def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for own, texts in slices(batch, "text"):
+        for own, texts in slices(batch, limit=SLICE):
             sets, counts = shingle_sets(texts, width)
             ends = np.cumsum(counts)
             keys = set_keys(sets, counts)
@@ -209,7 +211,6 @@ def near_duplicates(
     rows: int = ROWS,
     bands: int | None = None,
     seed: int = 20,
-    agree: float = AGREE,
 ) -> DataFrame:
     """Class of near-duplicates of every row of ``docs`` (``doc_id``, ``text``).
 
@@ -234,7 +235,9 @@ def near_duplicates(
     component null, kept. Repeated rows each get a row. One doc_id with several
     texts: each text has its own component by its set. Other columns are ignored.
     """
-    bands = bands or bands_for(num / den, rows)
+    least = num / den
+    bands = bands or bands_for(least, rows)
+    agree = least - DEVIATIONS * math.sqrt(least * (1 - least) / (rows * bands))
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sketch = durable(
         whole.mapInArrow(
