@@ -17,6 +17,8 @@ from .common import ragged, slices, starts_of, table
 
 #: Buckets of hashed letter trigrams, added count of each, most languages of a model.
 BUCKETS, ADDED, MOST_LANGUAGES = 1 << 16, 0.5, 1000
+#: Bytes of text that are worked on together.
+SLICE = 1 << 20
 #: Rounds of expectation-maximisation, and the penalty of a further language in units of half the log of the words.
 ROUNDS, PENALTY = 12, 4.0
 UNDETERMINED = "und"
@@ -81,7 +83,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals.clear()
 
     for batch in batches:
-        for own, texts in slices(batch):
+        for own, texts in slices(batch, limit=SLICE):
             codes, counts, buckets, sizes = _trigram_words(texts)
             names, langs = np.unique(np.array(own.column(own.schema.get_field_index("lang")).to_pylist(), object), return_inverse=True)
             owner = np.repeat(langs, counts)
@@ -164,7 +166,7 @@ def infer_mixtures(word_log_p: np.ndarray, codes: np.ndarray, counts: np.ndarray
 def _inferred(batches: Iterator[pa.RecordBatch], model, penalty: float) -> Iterator[pa.RecordBatch]:
     languages, log_p = model.value.languages, model.value.log_p
     for batch in batches:
-        for own, texts in slices(batch):
+        for own, texts in slices(batch, limit=SLICE):
             codes, counts, buckets, sizes = _trigram_words(texts)
             pred, score, found = [UNDETERMINED] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
             full = np.flatnonzero(counts)
@@ -202,7 +204,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, penalty: float
 
 def _judged(batches: Iterator[pa.RecordBatch], model, penalty: float, keep: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for own, _ in slices(batch):
+        for own, _ in slices(batch, limit=SLICE):
             for found in _inferred(iter([own.select([*keep, "text"])]), model, penalty):
                 letter = [any(map(str.isalpha, t or "")) for t in own.column(own.schema.get_field_index("text")).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(found.column(i) for i in range(len(keep) + 2)), pa.array(letter)], names=[*keep, "lang_pred", "score", "has_letter"])

@@ -19,8 +19,10 @@ from .common import ragged, segment_sums, slices, starts_of, table
 
 #: Longest window, shortest tier to which documents are routed, tokens of a step group.
 LONGEST, SHORTEST, STEP_TOKENS = 4096, 512, 1 << 17
+#: Bytes of text that are worked on together.
+SLICE = 4 << 20
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -246,7 +248,7 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, longest:
     tokenizer = word_tokenizer(path)
     packer = Packer(TaskContext.get().partitionId() << 40, longest, shortest, step_tokens)
     for batch in batches:
-        for own, texts in slices(batch):
+        for own, texts in slices(batch, limit=SLICE):
             ids, counts = tokenizer.encode(texts, end_id)
             raw, ends = ids.astype("<u4").tobytes(), np.cumsum(counts).tolist()
             for doc_id, e, n in zip(own.column(own.schema.get_field_index("doc_id")).to_pylist(), ends, counts.tolist(), strict=True):
