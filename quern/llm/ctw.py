@@ -26,7 +26,7 @@ END = b"\t"
 #: Kinds of rows between the steps: words, grams, the end token, sums over all words.
 WORDS, GRAMS, ENDS, SUMS = 0, 1, 2, 3
 
-_PACK = "block int, part int, kind int, items binary, n binary"
+_PACK = "block int, part int, kind int, items binary, n binary, distinct long, total long"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double, code_length double"
 
 
@@ -133,7 +133,9 @@ def _block_grams(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: i
 
 
 def _packs(rows: list[tuple]) -> pa.Table:
-    kinds = {"block": pa.int32(), "part": pa.int32(), "kind": pa.int32(), "items": pa.binary(), "n": pa.binary()}
+    """Rows of ``_PACK``; the last two columns are for ``SUMS`` alone."""
+    kinds = {"block": pa.int32(), "part": pa.int32(), "kind": pa.int32(), "items": pa.binary(), "n": pa.binary(), "distinct": pa.int64(), "total": pa.int64()}
+    rows = [r if len(r) == len(kinds) else (*r, None, None) for r in rows]
     columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
     return pa.table({k: pa.array(v, t) for (k, t), v in zip(kinds.items(), columns, strict=True)})
 
@@ -186,7 +188,7 @@ def _total_words(key: tuple, rows: pa.Table) -> pa.Table:
         (block, part, kind, None, known[e - n : e].tobytes())
         for block, part, kind, n, e in zip(*(rows.column(c).to_pylist() for c in ("block", "part", "kind")), sizes.tolist(), ends.tolist(), strict=True)
     ]
-    return _packs([*out, (None, key[0].as_py(), SUMS, None, np.array([(total > 0).sum(), total.sum()], np.int64).tobytes())])
+    return _packs([*out, (None, key[0].as_py(), SUMS, None, None, int((total > 0).sum()), int(total.sum()))])
 
 
 def _total_grams(key: tuple, rows: pa.Table, groups: int) -> pa.Table:
@@ -404,8 +406,7 @@ def score_texts(docs: DataFrame, *, depth: int = DEPTH) -> DataFrame:
 
     stats = durable(grouped(docs, "block", _statistics, _PACK, depth=depth, parts=parts))
     words = durable(grouped(stats.where(F.col("kind") != GRAMS), "part", _total_words, _PACK))
-    sums = [np.frombuffer(bytes(r.n), np.int64) for r in words.where(F.col("kind") == SUMS).select("n").collect()]  # one row a part
-    distinct, tokens = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
+    distinct, tokens = (x or 0 for x in words.agg(F.sum("distinct"), F.sum("total")).first())
 
     asked = stats.where(F.col("kind") == GRAMS)
     grams = durable(grouped(asked, "part", _total_grams, _PACK, groups=parts).withColumnRenamed("block", "group"))
