@@ -116,7 +116,7 @@ def _block_words(texts: list[bytes], parts: int) -> tuple[np.ndarray, list[bytes
         order = np.array(sorted(range(len(h)), key=lambda i: (part[i], h[i], distinct[i])))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return place[codes] if len(codes) else codes, [distinct[i] for i in order], part[order], counts
+    return place[codes] if len(codes) else codes, distinct[order].tolist(), part[order], counts
 
 
 def _gram_part(grams: np.ndarray, parts: int) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, table, whole_row
 
 #: Bits of the filter for each row, and the most that a filter has whatever the
 #: number of rows: 2^26 bits are 2^20 words, 16 MB to send to each executor.
@@ -114,7 +114,7 @@ def drop_exact_duplicates(docs: DataFrame, *, most_bits: int = MOST_BITS) -> Dat
     filters = repeated_filters(rows, most_bits)
     groups = _groups(with_suspects(rows, filters).where("suspect"))
     text = _text(F.col("text"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"))
+    packed = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"))
     marked = with_suspects(packed, filters)
     straight = marked.where("not suspect").select("row.*")
     suspects = marked.where("suspect").select("row", "id", F.unhex(F.sha2(_text(F.col("row.text")), 256)).alias("sha"))
