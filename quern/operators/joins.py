@@ -13,15 +13,17 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, time: str, columns:
     Both sides go through one shuffle and one sort by (key, time), and a window
     carries the last right row forward; there is no join, so a busy key costs its
     rows once, not pairs. Right rows of one key and time: the largest by ``columns``
-    counts. Left rows without a right row have nulls; so have those with a null key.
+    counts. Left rows without a right row have nulls; so have those with a null key,
+    which are not shuffled.
     """
-    carried = F.struct(*[F.col(c) for c in columns])
-    a = left.select(F.col(key).alias("_key"), F.col(time).alias("_time"), F.lit(1).alias("_side"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"))
-    b = right.select(F.col(key).alias("_key"), F.col(time).alias("_time"), F.lit(0).alias("_side"), carried.alias("_last"))
-    both = a.unionByName(b, allowMissingColumns=True).where(F.col("_key").isNotNull() | (F.col("_side") == 1))
+    keyed, bare = left.where(F.col(key).isNotNull()), left.where(F.col(key).isNull())
+    a = keyed.select(F.col(key).alias("_key"), F.col(time).alias("_time"), F.lit(1).alias("_side"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"))
+    b = right.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(time).alias("_time"), F.lit(0).alias("_side"), F.struct(*columns).alias("_last"))
     until = W.partitionBy("_key").orderBy("_time", "_side", "_last").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = both.withColumn("_last", F.last("_last", ignorenulls=True).over(until)).where("_side = 1")
-    return found.select("_row.*", *[F.when(F.col("_key").isNotNull(), F.col("_last")[c]).alias(c) for c in columns])
+    both = a.unionByName(b, allowMissingColumns=True)
+    found = both.withColumn("_last", F.last("_last", ignorenulls=True).over(until)).where("_side = 1").select("_row.*", *[F.col("_last")[c].alias(c) for c in columns])
+    kinds = dict(right.dtypes)
+    return found.union(bare.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in columns]))
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, at: str, begin: str, end: str, width: float) -> DataFrame:
