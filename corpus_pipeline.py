@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import exact_dedup, language, minhash, packing
-from quern.llm.common import table, whole_row
+from quern.llm.common import table
 
 #: Share of its main language below which a document is rejected as having none.
 LEAST_SHARE = 0.3
@@ -25,10 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nothing can be told, and only texts without a letter go.
     """
     model = language.learn_languages(docs)
-    packed = docs.select(whole_row(docs).alias("row"), "text")
-    judged = language.with_main_language(packed, model)
-    told = F.col("score") >= LEAST_SHARE if model.languages else F.col("has_letter")
-    return judged.where(told).select("row.*")
+    return docs.where(language.main_share(F.col("text"), model) >= (LEAST_SHARE if model.languages else 0))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -38,6 +39,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released() -> None:
+    """Give a Python worker's freed memory back to the system.
+
+    Workers outlive their tasks and serve later stages. Called at a task's end.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def clamp_partitions(total: float, each: float, least: int = 1) -> int:
     """Number of partitions that hold ``each`` units of a ``total`` that grows with the data."""
     return max(least, int(-(-total // each)))

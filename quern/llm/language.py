@@ -11,9 +11,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import ragged, slices, starts_of, table
+from .common import ragged, released, slices, starts_of, table
 
 #: Buckets of hashed letter trigrams, added count of each, most languages of a model.
 BUCKETS, ADDED, MOST_LANGUAGES = 1 << 16, 0.5, 1000
@@ -95,6 +94,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(totals) > 100:
                 yield from drained()
     yield from drained()
+    released()
 
 
 def learn_languages(docs: DataFrame) -> LanguageModel:
@@ -202,22 +202,26 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, penalty: float
     )
 
 
-def _judged(batches: Iterator[pa.RecordBatch], model, penalty: float, keep: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for own, _ in slices(batch, limit=SLICE):
-            for found in _inferred(iter([own.select([*keep, "text"])]), model, penalty):
-                letter = [any(map(str.isalpha, t or "")) for t in own.column(own.schema.get_field_index("text")).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(found.column(i) for i in range(len(keep) + 2)), pa.array(letter)], names=[*keep, "lang_pred", "score", "has_letter"])
-
-
-def with_main_language(rows: DataFrame, model: LanguageModel, *, penalty: float = PENALTY) -> DataFrame:
-    """``rows`` (columns ``row``, a struct, and ``text``) as ``row``, ``lang_pred``, ``score``, ``has_letter``.
+def main_share(text: Column, model: LanguageModel, *, penalty: float = PENALTY) -> Column:
+    """Share of the main language of a text column: -1 without a letter (null too), 0 under a model without languages.
 
-    The struct carries a whole row, whatever its columns' names, past the inference.
+    Only the texts go to Python; rows that they belong to wait in the JVM.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([rows.schema["row"]]).add("lang_pred", "string").add("score", "double").add("has_letter", "boolean")
-    return rows.select("row", "text").mapInArrow(partial(_judged, model=shared, penalty=penalty, keep=["row"]), schema)
+    shared = SparkSession.active().sparkContext.broadcast(model)
+
+    def share(texts: pa.Array) -> pa.Array:
+        out = []
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        for _, part in slices(batch, limit=SLICE):
+            codes, counts, buckets, sizes = _trigram_words(part)
+            score, full = np.where(counts > 0, 0.0, -1.0), np.flatnonzero(counts)
+            if shared.value.languages and len(full):
+                score[full] = infer_mixtures(_sums(shared.value.log_p[buckets], sizes), codes, counts[full], penalty).max(axis=1)
+            out.append(score)
+        released()
+        return pa.array(np.concatenate(out) if out else np.zeros(0))
+
+    return F.arrow_udf(share, "double")(text)
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:

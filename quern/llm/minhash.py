@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, ragged, slices, starts_of, table, word_codes
+from .common import durable, ragged, released, slices, starts_of, table, word_codes
 from .components import connected_components
 
 #: Rows of a band, and the probability with which a pair at the least similarity may share no band.
@@ -124,6 +124,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, rows: int, bands: int
                 ],
                 names=["doc_id", "n_shingles", "node", "bands"],
             )
+    released()
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -143,6 +144,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
                 ],
                 names=["cluster", "node", "n", "members"],
             )
+    released()
 
 
 def confirmed_forest(sets: list[np.ndarray], num: int, den: int, family: tuple[np.ndarray, np.ndarray], agree: float) -> list[tuple[int, int]]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ragged, segment_sums, slices, starts_of, table
+from .common import ragged, released, segment_sums, slices, starts_of, table
 
 #: Longest window, shortest tier to which documents are routed, tokens of a step group.
 LONGEST, SHORTEST, STEP_TOKENS = 4096, 512, 1 << 17
@@ -257,6 +257,7 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, longest:
             yield packer.drain()
     packer.finish()
     yield packer.drain()
+    released()
 
 
 def pack_documents(
