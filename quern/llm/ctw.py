@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import clamp_partitions, durable, ragged, segment_sums, slices, starts_of, table, word_codes
+from .common import clamp_partitions, collected, durable, ragged, segment_sums, slices, starts_of, table, word_codes
 from .language import held_out
 
 #: Bytes of context, and the last bytes that the contexts of one task share. A
@@ -132,10 +132,33 @@ def _block_grams(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: i
     return grams[order], part[order]
 
 
+def _pressed(x: bytes | np.ndarray | None, rising: bool = False) -> bytes | None:
+    """Compressed bytes of an array or text, after their length; rising integers as differences."""
+    if x is None:
+        return None
+    raw = x if isinstance(x, bytes) else (np.diff(x, prepend=x.dtype.type(0)) if rising else x).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _raw(x: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), asbytes=True)
+
+
+def _numbers(x: bytes, dtype, rising: bool = False) -> np.ndarray:
+    out = np.frombuffer(_raw(x), dtype)
+    return np.cumsum(out, dtype=dtype) if rising else out
+
+
+def _column(rows: pa.Table, name: str, dtype, rising: bool = False) -> tuple[np.ndarray, list[int]]:
+    """All numbers of a packed column, and how many each row has."""
+    arrays = [_numbers(x, dtype, rising) for x in rows.column(name).to_pylist()]
+    return np.concatenate([np.zeros(0, dtype), *arrays]), [len(a) for a in arrays]
+
+
 def _packs(rows: list[tuple]) -> pa.Table:
-    """Rows of ``_PACK``; the last two columns are for ``SUMS`` alone."""
+    """Rows of ``_PACK``, compressed; the last two columns are for ``SUMS`` alone. Grams are ascending."""
     kinds = {"block": pa.int32(), "part": pa.int32(), "kind": pa.int32(), "items": pa.binary(), "n": pa.binary(), "distinct": pa.int64(), "total": pa.int64()}
-    rows = [r if len(r) == len(kinds) else (*r, None, None) for r in rows]
+    rows = [(block, part, kind, _pressed(items, kind == GRAMS), _pressed(n), *(more or (None, None))) for block, part, kind, items, n, *more in rows]
     columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
     return pa.table({k: pa.array(v, t) for (k, t), v in zip(kinds.items(), columns, strict=True)})
 
@@ -146,12 +169,12 @@ def _statistics(key: tuple, docs: pa.Table, depth: int, parts: int) -> pa.Table:
     texts, out = _block_texts(docs)
     codes, words, part, counts = _block_words(texts, parts)
     n = np.bincount(codes[np.repeat(~out, counts)], minlength=len(words)) if len(codes) else np.zeros(0, np.int64)
-    rows = [(block, 0, ENDS, END, np.array([(~out).sum()], np.int64).tobytes())]
+    rows = [(block, 0, ENDS, END, np.array([(~out).sum()], np.int64))]
     cuts = np.searchsorted(part, np.arange(parts + 1))
     for p in range(parts):
         i, j = int(cuts[p]), int(cuts[p + 1])
         if j > i:
-            rows.append((block, p, WORDS, b"\n".join(words[i:j]), n[i:j].astype(np.int64).tobytes()))
+            rows.append((block, p, WORDS, b"\n".join(words[i:j]), n[i:j].astype(np.int64)))
     del codes, words
     runs, totals = [], []
     for i, j in _runs(texts):
@@ -167,7 +190,7 @@ def _statistics(key: tuple, docs: pa.Table, depth: int, parts: int) -> pa.Table:
     for p in range(parts):
         i, j = int(cuts[p]), int(cuts[p + 1])
         if j > i:
-            rows.append((block, p, GRAMS, grams[i:j].astype(np.int64).tobytes(), n[i:j].astype(np.int32).tobytes()))
+            rows.append((block, p, GRAMS, grams[i:j], n[i:j].astype(np.int32)))
     return _packs(rows)
 
 
@@ -176,16 +199,16 @@ def _total_words(key: tuple, rows: pa.Table) -> pa.Table:
 
     The row without a block has the part's distinct training words and their sum.
     """
-    blobs = [b.split(b"\n") for b in rows.column("items").to_pylist()]
+    blobs = [_raw(b).split(b"\n") for b in rows.column("items").to_pylist()]
     sizes = np.array([len(b) for b in blobs], np.int64)
     flat = np.empty(int(sizes.sum()), object)
     flat[:] = [w for b in blobs for w in b]
     codes, distinct = pd.factorize(flat)
-    own = np.frombuffer(b"".join(rows.column("n").to_pylist()), np.int64)
+    own, _ = _column(rows, "n", np.int64)
     total = np.bincount(codes, weights=own, minlength=len(distinct)).astype(np.int64)
     known, ends = total[codes], np.cumsum(sizes)
     out = [
-        (block, part, kind, None, known[e - n : e].tobytes())
+        (block, part, kind, None, known[e - n : e])
         for block, part, kind, n, e in zip(*(rows.column(c).to_pylist() for c in ("block", "part", "kind")), sizes.tolist(), ends.tolist(), strict=True)
     ]
     return _packs([*out, (None, key[0].as_py(), SUMS, None, None, int((total > 0).sum()), int(total.sum()))])
@@ -193,13 +216,13 @@ def _total_words(key: tuple, rows: pa.Table) -> pa.Table:
 
 def _total_grams(key: tuple, rows: pa.Table, groups: int) -> pa.Table:
     """Distinct grams of a part with their training counts over all blocks, by group of contexts (``block``)."""
-    grams, at = np.unique(np.frombuffer(b"".join(rows.column("items").to_pylist()), np.int64), return_inverse=True)
-    n = np.bincount(at, weights=np.frombuffer(b"".join(rows.column("n").to_pylist()), np.int32), minlength=len(grams)).astype(np.int64)
+    grams, at = np.unique(_column(rows, "items", np.int64, True)[0], return_inverse=True)
+    n = np.bincount(at, weights=_column(rows, "n", np.int32)[0], minlength=len(grams)).astype(np.int64)
     group = _gram_part((grams >> 8) & ((1 << (8 * SHARED)) - 1), groups)
     order = np.argsort(group, kind="stable")
     grams, n, cuts = grams[order], n[order], np.searchsorted(group[order], np.arange(groups + 1)).tolist()
     part = key[0].as_py()
-    return _packs([(g, part, GRAMS, grams[i:j].tobytes(), n[i:j].tobytes()) for g, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i])
+    return _packs([(g, part, GRAMS, grams[i:j], n[i:j]) for g, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i])
 
 
 class _Subtrees:
@@ -273,13 +296,14 @@ def _pieces(grams: np.ndarray, limit: int = 1 << 17) -> list[np.ndarray]:
     return out
 
 
-def _group(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int64) for c in ("items", "n"))
+def _group(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    grams, sizes = _column(rows, "items", np.int64, True)
+    return grams, _column(rows, "n", np.int64)[0], sizes
 
 
 def _summary(_: tuple, rows: pa.Table, depth: int) -> pa.Table:
     """Counts and log weights of a group's topmost nodes, summed for the level above them."""
-    grams, n = _group(rows)
+    grams, n, _ = _group(rows)
     out = []
     for i in _pieces(grams):
         tree = _Subtrees(grams[i], n[i].astype(np.float64), depth)
@@ -291,26 +315,23 @@ def _summary(_: tuple, rows: pa.Table, depth: int) -> pa.Table:
 
 
 def _gram_scores(key: tuple, rows: pa.Table, depth: int, upper) -> pa.Table:
-    grams, n = _group(rows)
+    grams, n, sizes = _group(rows)
     out = np.empty(len(grams), np.float32)
     for i in _pieces(grams):
         out[i] = _Subtrees(grams[i], n[i].astype(np.float64), depth).log_p(upper.value)
-    sizes = [len(b) // 8 for b in rows.column("items").to_pylist()]
-    ends = np.cumsum(sizes).tolist()
-    group = key[0].as_py()
-    return _packs([(group, p, GRAMS, items, out[e - m : e].tobytes()) for p, items, m, e in zip(rows.column("part").to_pylist(), rows.column("items").to_pylist(), sizes, ends, strict=True)])
+    group, ends = key[0].as_py(), np.cumsum(sizes).tolist()
+    return _packs([(group, p, GRAMS, grams[e - m : e], out[e - m : e]) for p, m, e in zip(rows.column("part").to_pylist(), sizes, ends, strict=True)])
 
 
 def _returned(key: tuple, asked: pa.Table, scored: pa.Table) -> pa.Table:
     """Scores of a part's grams in the order of each block that asked for them."""
-    grams = np.frombuffer(b"".join(scored.column("items").to_pylist()), np.int64)
-    log_p = np.frombuffer(b"".join(scored.column("n").to_pylist()), np.float32)
+    grams, log_p = _column(scored, "items", np.int64, True)[0], _column(scored, "n", np.float32)[0]
     order = np.argsort(grams)
     grams, log_p = grams[order], log_p[order]
     part = key[0].as_py()
     return _packs(
         [
-            (block, part, GRAMS, None, log_p[np.searchsorted(grams, np.frombuffer(items, np.int64))].tobytes())
+            (block, part, GRAMS, None, log_p[np.searchsorted(grams, _numbers(items, np.int64, True))])
             for block, items in zip(asked.column("block").to_pylist(), asked.column("items").to_pylist(), strict=True)
         ]
     )
@@ -343,11 +364,11 @@ def _scores(_: tuple, docs: pa.Table, found: pa.Table, depth: int, parts: int) -
     cuts, gram_cuts = (np.searchsorted(x, np.arange(parts + 1)) for x in (part, gram_part))
     for p, kind, n in zip(*(found.column(c).to_pylist() for c in ("part", "kind", "n")), strict=True):
         if kind == WORDS:
-            known[cuts[p] : cuts[p + 1]] = np.frombuffer(n, np.int64)
+            known[cuts[p] : cuts[p + 1]] = _numbers(n, np.int64)
         elif kind == GRAMS:
-            log_p[gram_cuts[p] : gram_cuts[p + 1]] = np.frombuffer(n, np.float32)
+            log_p[gram_cuts[p] : gram_cuts[p + 1]] = _numbers(n, np.float32)
         else:
-            ends = int(np.frombuffer(n, np.int64)[0])
+            ends = int(_numbers(n, np.int64)[0])
     order = np.argsort(grams)
     grams, log_p = grams[order], log_p[order]
     score = np.concatenate([segment_sums(log_p[np.searchsorted(grams, values)][now], lengths) for now, values, lengths in runs])
@@ -405,6 +426,7 @@ def score_texts(docs: DataFrame, *, depth: int = DEPTH) -> DataFrame:
         return df.groupBy(key).applyInArrow(lambda k, rows: f(k, rows, **more), schema)
 
     stats = durable(grouped(docs, "block", _statistics, _PACK, depth=depth, parts=parts))
+    collected(docs.sparkSession)  # the texts' first shuffle
     words = durable(grouped(stats.where(F.col("kind") != GRAMS), "part", _total_words, _PACK))
     distinct, tokens = (x or 0 for x in words.agg(F.sum("distinct"), F.sum("total")).first())
 
