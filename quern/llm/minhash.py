@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, ragged, released, slices, starts_of, table, word_codes
+from .common import collected, durable, ragged, released, slices, starts_of, table, word_codes
 from .components import connected_components
 
 #: Rows of a band, and the probability with which a pair at the least similarity may share no band.
@@ -259,6 +259,7 @@ def near_duplicates(
 
     wanted = whole.join(clusters.withColumnRenamed("first_id", "doc_id"), "doc_id").select("cluster", "node", "text")
     sets = durable(wanted.mapInArrow(partial(_full_sets, width=width), "cluster binary, node binary, n long, members binary"))
+    collected(docs.sparkSession)  # the texts' shuffle
     chunks = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("total"))
     chunks = durable(chunks.select("cluster", F.greatest(F.ceil(F.col("nodes") / CHUNK_NODES), F.ceil(F.col("total") / CHUNK_SHINGLES)).cast("int").alias("parts")))
     # A cluster of p parts is dealt to p (p + 1) / 2 tasks; each holds the nodes of two parts.
