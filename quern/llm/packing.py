@@ -6,9 +6,10 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -70,42 +71,55 @@ class WordTokenizer:
         self.expected = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": _PATTERN}
         self.specials = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.written = _byte_letters()
-        self._forget()
-
-    def _forget(self) -> None:
         self.known = _Numbered()
-        self.merged: dict[str, list[int]] = {}
+        self.merged: dict[str, bytes] = {}
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.at, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.at, self.size, self.met = (np.zeros(1 << 18, np.int64) for _ in range(3))
 
-    def _piece(self, piece: str) -> list[int]:
+    def _forget(self) -> None:
+        """Keep the words met most often, half of ``REMEMBERED`` at most; the others are encoded anew when they come again."""
+        n = len(self.known)
+        least = max(2, int(np.partition(self.met[:n], n - REMEMBERED // 2)[n - REMEMBERED // 2]) + 1)
+        keep = np.flatnonzero(self.met[:n] >= least)
+        words = list(self.known)
+        self.known = _Numbered(zip([words[i] for i in keep.tolist()], range(len(keep)), strict=True))
+        at, size = self.at[keep], self.size[keep]
+        self.used = int(size.sum())
+        self.ids[: self.used] = self.ids[ragged(at, size)]
+        self.at[: len(keep)], self.size[: len(keep)] = starts_of(size), size
+        self.met[:] = 0
+        self.merged = {}
+
+    def _piece(self, piece: str) -> bytes:
         ids = self.merged.get(piece)
         if ids is None:
             written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.written)
-            ids = self.merged[piece] = [t.id for t in self.merge(written)]
+            # Bytes, unlike lists, cost the garbage collector nothing.
+            ids = self.merged[piece] = array("I", [t.id for t in self.merge(written)]).tobytes()
         return ids
 
-    def _word(self, word: bytes) -> list[int]:
+    def _word(self, word: bytes) -> bytes:
+        """Ids of a word as unsigned 32-bit integers."""
         text = word.decode()
         if self.expected and word.isalpha():  # ASCII letters alone
             return self._piece(text.lower())
         if not self.expected or not _PLAIN.fullmatch(text) or (b"<" in word and any(s in word.lower() for s in self.specials)):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         text = text.lower()
         if text.isalpha():
             return self._piece(text)
-        return [i for piece in _CUT.findall(text) for i in self._piece(piece)]
+        return b"".join([self._piece(piece) for piece in _CUT.findall(text)])
 
     def _learn(self, first: int) -> None:
         """Encode the words from number ``first`` on."""
-        lists = [self._word(w) for w in islice(self.known, first, None)]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        n, m = first + len(lists), int(sizes.sum())
+        found = [self._word(w) for w in islice(self.known, first, None)]
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        n, m = first + len(found), int(sizes.sum())
         while self.used + m > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         while n > len(self.at):
-            self.at, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size))
-        self.ids[self.used : self.used + m] = np.fromiter(chain.from_iterable(lists), np.uint32, m)
+            self.at, self.size, self.met = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size, self.met))
+        self.ids[self.used : self.used + m] = np.frombuffer(b"".join(found), np.uint32)
         self.at[first:n], self.size[first:n] = self.used + starts_of(sizes), sizes
         self.used += m
 
@@ -123,6 +137,7 @@ class WordTokenizer:
             words += own
         known = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         self._learn(first)
+        self.met[: len(self.known)] += np.bincount(known, minlength=len(self.known))
         sizes = self.size[known]
         counts = segment_sums(sizes, in_text).astype(np.int64)
         out = np.full(int(counts.sum()) + len(texts), end_id, np.uint32)
