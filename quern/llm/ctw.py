@@ -426,14 +426,15 @@ def score_texts(docs: DataFrame, *, depth: int = DEPTH) -> DataFrame:
         return df.groupBy(key).applyInArrow(lambda k, rows: f(k, rows, **more), schema)
 
     stats = durable(grouped(docs, "block", _statistics, _PACK, depth=depth, parts=parts))
-    collected(docs.sparkSession)  # the texts' first shuffle
     words = durable(grouped(stats.where(F.col("kind") != GRAMS), "part", _total_words, _PACK))
     distinct, tokens = (x or 0 for x in words.agg(F.sum("distinct"), F.sum("total")).first())
 
+    collected(docs.sparkSession)
     asked = stats.where(F.col("kind") == GRAMS)
     grams = durable(grouped(asked, "part", _total_grams, _PACK, groups=parts).withColumnRenamed("block", "group"))
     upper = _upper_levels(grouped(grams, "group", _summary, "name long, zeros double, ones double, log_w double", depth=depth))
     shared = docs.sparkSession.sparkContext.broadcast(upper)
+    collected(docs.sparkSession)  # the texts' first shuffle, long ended, goes before the second
     scored = grouped(grams, "group", _gram_scores, _PACK, depth=depth, upper=shared)
     returned = asked.groupBy("part").cogroup(scored.groupBy("part")).applyInArrow(lambda k, a, b: _returned(k, a, b), _PACK)
 
