@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from .common import ragged, released, segment_sums, slices, starts_of, table
+from .common import durable, ragged, released, segment_sums, slices, starts_of, table
 
 #: Longest window, shortest tier to which documents are routed, tokens of a step group.
 LONGEST, SHORTEST, STEP_TOKENS = 4096, 512, 1 << 17
@@ -160,6 +162,9 @@ class Packer:
     full. A window that cannot be filled waits for the next documents; at the end
     the waiting rests are cut into powers of two. Waiting rests of one length are
     taken last in, first out.
+
+    The last field of a row numbers the windows of a tier. Steps are made of them
+    over all tasks, so ``step_tokens`` decides nothing here.
     """
 
     def __init__(self, first_id: int, longest: int = LONGEST, shortest: int = SHORTEST, step_tokens: int = STEP_TOKENS):
@@ -168,7 +173,7 @@ class Packer:
         self.lengths = 0  # bit n: a rest of n ids waits
         self.total = 0
         self.windows = 0
-        self.groups, self.open_groups = 0, {}
+        self.in_tier: dict[int, int] = {}
         self.rows: list[tuple] = []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -240,14 +245,11 @@ class Packer:
     def _emit(self, parts: list[tuple], tier: int) -> None:
         sequence = self.first_id + self.windows
         self.windows += 1
-        group, room = self.open_groups.get(tier, (0, 0))
-        if not room:
-            group, room = self.first_id + self.groups, max(self.step_tokens, tier)
-            self.groups += 1
-        self.open_groups[tier] = (group, room - tier)
+        nth = self.in_tier.get(tier, 0)
+        self.in_tier[tier] = nth + 1
         offset = 0
         for doc_id, n, start, length, ids in parts:
-            self.rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, sequence, offset, tier, group))
+            self.rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, sequence, offset, tier, nth))
             offset += length
 
     def drain(self) -> pa.RecordBatch:
@@ -259,9 +261,9 @@ class Packer:
         return out
 
 
-def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, longest: int, shortest: int, step_tokens: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, longest: int, shortest: int) -> Iterator[pa.RecordBatch]:
     tokenizer = word_tokenizer(path)
-    packer = Packer(TaskContext.get().partitionId() << 40, longest, shortest, step_tokens)
+    packer = Packer(TaskContext.get().partitionId() << 40, longest, shortest)
     for batch in batches:
         for own, texts in slices(batch, limit=SLICE):
             ids, counts = tokenizer.encode(texts, end_id)
@@ -275,6 +277,18 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, longest:
     released()
 
 
+def _stepped(pieces: DataFrame, step_tokens: int) -> DataFrame:
+    """Number the steps of a tier through all tasks: ``step_group`` is the window's number in its task and tier before, its step after."""
+    columns = pieces.columns
+    pieces = durable(pieces).withColumn("task", F.shiftright("sequence_id", 40))
+    before = W.partitionBy("tier").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
+    counts = pieces.groupBy("task", "tier").agg((F.max("step_group") + 1).alias("windows"))
+    counts = counts.select("task", "tier", F.coalesce(F.sum("windows").over(before), F.lit(0)).alias("before"))
+    step = F.floor((F.col("before") + F.col("step_group")) / F.greatest(F.lit(1), F.floor(F.lit(step_tokens) / F.col("tier"))))
+    step = F.shiftleft(F.bit_count(F.col("tier") - 1).cast("long"), 40) + step
+    return pieces.join(counts, ["task", "tier"]).withColumn("step_group", step).select(columns)
+
+
 def pack_documents(
     docs: DataFrame,
     path: str,
@@ -289,19 +303,22 @@ def pack_documents(
     Returns one row a piece: ``doc_id``, ``start``, ``length``, ``ids_crc32``,
     ``doc_tokens``, ``sequence_id``, ``offset`` (gapless in the window), ``tier`` (the
     window's length) and ``step_group`` (windows of one tier that fill
-    ``step_tokens`` together, so all steps but a task's last of a tier are even).
+    ``step_tokens`` together, so all steps but the last of a tier are even).
 
     Tiers are the powers of two from ``shortest`` to ``longest`` (both powers of
     two). All windows are full, so nothing is padded; the last ids of a task go to
     windows of smaller powers of two. Each task packs its own input in one pass
-    and holds one slice of text and the rests of one window. Nothing is shuffled.
+    and holds one slice of text and the rests of one window. The pieces are cut to
+    disk, and their windows counted by task and tier; from the counts follow the
+    steps, which go through all tasks. No text or id is shuffled.
     Sequence ids are unique: the task's number, shifted left by 40, and a count.
+    So are step groups: the tier's logarithm, shifted alike, and a count.
 
     Defined cases. Null or empty text: the end id alone. A null doc_id stays null.
     Repeated rows are packed each. No documents: no rows. Other columns are ignored.
     """
-    fn = partial(_packed, path=path, end_id=end_id, longest=longest, shortest=shortest, step_tokens=step_tokens)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(fn, _SCHEMA)
+    fn = partial(_packed, path=path, end_id=end_id, longest=longest, shortest=shortest)
+    return _stepped(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(fn, _SCHEMA), step_tokens)
 
 
 def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

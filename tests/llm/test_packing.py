@@ -56,6 +56,19 @@ def test_other_tiers_and_even_steps(spark):
     assert max(steps.values()) == 1024 and len(short) <= 9
 
 
+def test_steps_are_even_over_all_tasks(spark):
+    docs = cases.documents(spark).repartition(7)
+    found = packing.pack_documents(docs, PATH, longest=256, shortest=16, step_tokens=1024).collect()
+    check(cases.rows(), found, 256)
+    assert len({p.sequence_id >> 40 for p in found}) > 3
+    steps, tiers = Counter(), {}
+    for p in found:
+        steps[p.step_group] += p.length
+        assert tiers.setdefault(p.step_group, p.tier) == p.tier
+    assert max(steps.values()) == 1024
+    assert max(Counter(tiers[g] for g, n in steps.items() if n != 1024).values()) == 1
+
+
 def test_empty_table(spark):
     assert packing.pack_documents(cases.empty(spark), PATH).count() == 0
 
