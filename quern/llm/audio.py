@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, ragged, table
+from .common import durable, ragged, segment_sums, starts_of, table
+from .exact_dedup import _words
 
 #: Samples a second, of an analysis window, and between windows.
 RATE, WINDOW, HOP = 4096, 1024, 512
@@ -18,6 +20,10 @@ RATE, WINDOW, HOP = 4096, 1024, 512
 LOWEST, HIGHEST = 55.0, 1760.0
 #: Frames under the widest filter, and the share of wrong bits up to which recordings match.
 WIDEST, MOST_ERRORS = 8, 0.2
+#: Wrong bits of a print up to which it is looked up, and the bits of the filter of prints: 2^20 words at most.
+NEAR, FILTER_BITS = 2, 1 << 26
+#: Frames that are compared together.
+SLICE = 1 << 20
 
 
 def filter_bank() -> list[tuple[int, int, int, int]]:
@@ -116,20 +122,45 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(prints), pa.array(places)], names=["class_id", "print", "place"])
 
 
-def _errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Overlap and wrong bits of pairs of recordings at an offset."""
+def _errors(batches: Iterator[pa.RecordBatch], most_errors: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of recordings that match, at the offset with most votes (then: the longest overlap, the least offset) among those that do."""
     for batch in batches:
-        overlap, wrong = [], []
-        for a, b, shift in zip(*(batch.column(c).to_pylist() for c in ("query_prints", "prints", "offset")), strict=True):
-            x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-            x, y = x[max(0, -shift) :], y[max(0, shift) :]
-            n = min(len(x), len(y))
-            overlap.append(n)
-            wrong.append(int(np.bitwise_count(x[:n] ^ y[:n]).sum()))
-        names = ["query_class", "class_id", "offset", "votes"]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.get_field_index(c)) for c in names] + [pa.array(overlap, pa.int32()), pa.array(wrong, pa.int64())], names=[*names, "overlap", "wrong_bits"]
-        )
+        queries, others = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("query_prints", "prints"))
+        tries = batch.column(batch.schema.get_field_index("tries"))
+        shift, votes, equal = (tries.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        pair = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.list_value_length(tries), np.int64))
+        counts_x, counts_y = (np.array([len(b) // 4 for b in blobs], np.int64) for blobs in (queries, others))
+        x, y = (np.frombuffer(b"".join(blobs), "<u4") for blobs in (queries, others))
+        skip_x, skip_y = np.maximum(0, -shift).astype(np.int64), np.maximum(0, shift).astype(np.int64)
+        overlap = np.minimum(counts_x[pair] - skip_x, counts_y[pair] - skip_y)
+        from_x, from_y = starts_of(counts_x)[pair] + skip_x, starts_of(counts_y)[pair] + skip_y
+        wrong, ends, start = np.zeros(len(pair), np.int64), np.cumsum(overlap), 0
+        while start < len(pair):
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + SLICE, side="right")))
+            part = slice(start, stop)
+            bits = np.bitwise_count(x[ragged(from_x[part], overlap[part])] ^ y[ragged(from_y[part], overlap[part])])
+            wrong[part] = segment_sums(bits, overlap[part])
+            start = stop
+        good = np.flatnonzero((wrong <= most_errors * 32 * overlap) & (equal | (overlap >= WIDEST)))
+        good = good[np.lexsort((shift[good], -overlap[good], -votes[good], pair[good]))]
+        good = good[np.unique(pair[good], return_index=True)[1]]
+        ids = [batch.column(batch.schema.get_field_index(c)).take(pa.array(pair[good])) for c in ("query_class", "class_id")]
+        own = [pa.array(shift[good], pa.int32()), pa.array(votes[good], pa.int64()), pa.array(overlap[good], pa.int32()), pa.array(wrong[good], pa.int64())]
+        yield pa.RecordBatch.from_arrays(ids + own, names=["query_class", "class_id", "offset", "votes", "overlap", "wrong_bits"])
+
+
+def _probes(wanted: DataFrame, postings: DataFrame) -> DataFrame:
+    """Prints up to ``NEAR`` bits away from those wanted, less most that no posting has.
+
+    The filter of the postings' prints has a fixed size; a fuller one lets more
+    probes through but never misses a print.
+    """
+    bits = [sum(1 << k for k in flips) for n in range(NEAR + 1) for flips in combinations(range(32), n)]
+    cell = F.pmod(F.xxhash64("print"), F.lit(FILTER_BITS))
+    words = durable(_words(postings.select(cell.alias("cell"))))
+    probes = wanted.withColumn("flipped", F.explode(F.lit(bits).cast("array<long>"))).withColumn("print", F.col("print").bitwiseXOR(F.col("flipped")))
+    bit = F.call_function("shiftright", F.col("bits"), F.pmod(cell, F.lit(64)).cast("int")).bitwiseAND(F.lit(1))
+    return probes.join(F.broadcast(words), F.floor(cell / 64) == F.col("word")).where(bit == 1).drop("word", "bits")
 
 
 def align_recordings(prints: DataFrame, *, every: int = 50, most_errors: float = MOST_ERRORS) -> DataFrame:
@@ -141,11 +172,16 @@ def align_recordings(prints: DataFrame, *, every: int = 50, most_errors: float =
     ``class_id`` at ``offset`` (frames of the class before the query's first), with
     ``votes``, ``overlap`` (frames) and ``wrong_bits``, of which the share is at most ``most_errors``.
 
-    Method. Prints of queries meet equal prints of all classes; the histogram of
-    their offsets, summed before the shuffle, votes for the best
-    offset (ties: the least), whose bit errors decide. Equal recordings count once, so
-    copies do not multiply. Every class is indexed, no posting is capped; classes
-    that share no print with a query are not compared with it.
+    Method. Prints of queries meet prints of all classes that differ in ``NEAR`` bits
+    at most; the histogram of their offsets is summed before the shuffle. At every
+    offset with two votes, or one by a print with one wrong bit at most, the bit errors
+    are counted; of those within the bound the one with most votes is reported
+    (ties: the longest overlap, then the least offset).
+    An overlap of fewer than ``WIDEST`` frames needs an equal print, as few frames are
+    near by chance. Equal recordings count once, so copies do not multiply. Every
+    class is indexed, no posting is capped; classes without such votes are not
+    compared with a query. That loses few pairs, most of them near ``most_errors``
+    (the recall test compares with all offsets).
 
     Defined cases. Null rec_id: a member row without a class. No prints: a
     class of its own id that matches nothing. Repeated rows each get a
@@ -160,13 +196,15 @@ def align_recordings(prints: DataFrame, *, every: int = 50, most_errors: float =
     asked = durable(classes.where("asked").select(F.col("class_id").alias("query_class"), F.col("prints").alias("query_prints")))
     wanted = postings.join(asked.select(F.col("query_class").alias("class_id")), "class_id", "left_semi")
     wanted = durable(wanted.select(F.col("class_id").alias("query_class"), "print", F.col("place").alias("query_place")))
-    votes = postings.join(wanted, "print").where("class_id != query_class")
-    votes = votes.groupBy("query_class", "class_id", (F.col("place") - F.col("query_place")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("query_class", "class_id").agg(F.max(F.struct("votes", (-F.col("offset")).alias("back"))).alias("b"))
-    best = durable(best.select("query_class", "class_id", (-F.col("b.back")).alias("offset"), F.col("b.votes").alias("votes")))
-    pairs = best.join(asked, "query_class").join(own, "class_id").select("query_class", "class_id", "offset", "votes", "query_prints", "prints")
-    found = pairs.mapInArrow(_errors, "query_class long, class_id long, offset int, votes long, overlap int, wrong_bits long")
-    found = found.where(F.col("wrong_bits") <= F.lit(most_errors) * 32 * F.col("overlap"))
+    near = _probes(wanted, postings)
+    votes = postings.join(near, "print").where("class_id != query_class")
+    votes = votes.groupBy("query_class", "class_id", (F.col("place") - F.col("query_place")).alias("offset")).agg(
+        F.count(F.lit(1)).alias("votes"), F.min(F.bit_count("flipped")).alias("bits")
+    )
+    votes = votes.where("votes > 1 or bits < 2").withColumn("equal", F.col("bits") == 0)
+    tried = durable(votes.groupBy("query_class", "class_id").agg(F.collect_list(F.struct("offset", "votes", "equal")).alias("tries")))
+    pairs = tried.join(own, "class_id").join(asked, "query_class").select("query_class", "class_id", "tries", "query_prints", "prints")
+    found = pairs.mapInArrow(partial(_errors, most_errors=most_errors), "query_class long, class_id long, offset int, votes long, overlap int, wrong_bits long")
     member = rows.withColumn("sha", F.when(F.length("prints") > 0, F.unhex(F.sha2("prints", 256)))).join(classes.select("sha", F.col("class_id").alias("named")), "sha", "left")
     member = member.select(
         F.lit("member").alias("kind"), "rec_id", F.when(F.col("rec_id").isNotNull(), F.coalesce("named", "rec_id")).alias("class_id"), *[F.lit(None).cast(t).alias(c) for c, t in _MATCH]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from quern.llm import audio
 
@@ -40,6 +41,50 @@ def test_recall_against_brute_force(spark):
     assert len(true) > 30 and len(true & found) >= 0.9 * len(true) and found <= true
 
 
+def within(x, y, least):
+    """By brute force: the pair is within the bound at an offset where ``least`` frames overlap."""
+    for shift in range(least - len(x), len(y) - least + 1):
+        a, b = x[max(0, -shift) :], y[max(0, shift) :]
+        n = min(len(a), len(b))
+        if n >= least and np.bitwise_count(a[:n] ^ b[:n]).sum() <= audio.MOST_ERRORS * 32 * n:
+            return True
+    return False
+
+
+@pytest.mark.parametrize("noise", [0.003, 0.008, 0.012, 0.02])
+def test_recall_at_all_offsets(spark, noise):
+    rng = np.random.default_rng(8)
+    base = [played(rng) for _ in range(20)]
+    songs = dict(enumerate(base, 1))
+    for q in range(50, 3050, 50):  # excerpts from several places ask
+        start = int(rng.integers(0, 30))
+        songs[q] = (base[q // 50 % 20] + rng.normal(0, noise, 80))[start : start + int(rng.integers(50, 81))]
+    rows = audio.fingerprint_audio(recordings(spark, list(songs.items())))
+    x = {r.rec_id: np.frombuffer(r.prints, "<u4") for r in rows.collect()}
+    true = {(q, i) for q in x if q % 50 == 0 for i in x if i != q and within(x[q], x[i], audio.WIDEST)}
+    matches = [r for r in audio.align_recordings(rows).collect() if r.kind == "match"]
+    found = {(r.query_class, r.class_id) for r in matches if r.overlap >= audio.WIDEST}
+    assert len(true) > 8 and len(true & found) >= 0.9 * len(true) and found <= true
+
+
+def test_recall_on_the_embeddings(spark):
+    """The query itself misses one pair of sf0.01, alike by chance in 12 frames; noisy excerpts of the embeddings are found."""
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    x = {r.rec_id: np.frombuffer(r.prints, "<u4") for r in audio.fingerprint_audio(audio.melodies(vectors)).collect()}
+    true = {(q, i) for q in x if q % 50 == 0 for i in x if not np.array_equal(x[i], x[q]) and within(x[q], x[i], audio.WIDEST)}
+    found = {(r.query_class, r.class_id) for r in audio.query(spark, "/root/testdata/sf0.01").collect() if r.kind == "match" and r.overlap >= audio.WIDEST}
+    assert found <= true and not any(within(x[q], x[i], 2 * audio.WIDEST) for q, i in true - found)
+
+    rng = np.random.default_rng(9)
+    songs = {r.vec_id: np.array(r.embedding) for r in vectors.where("vec_id < 100 and vec_id % 50 != 0").collect()}
+    songs |= {50 * (n + 2): v[n % 12 :][:52] + rng.normal(0, 0.01, len(v[n % 12 :][:52])) for n, v in enumerate(list(songs.values()))}
+    rows = audio.fingerprint_audio(recordings(spark, list(songs.items())))
+    x = {r.rec_id: np.frombuffer(r.prints, "<u4") for r in rows.collect()}
+    true = {(q, i) for q in x if q % 50 == 0 for i in x if i != q and within(x[q], x[i], audio.WIDEST)}
+    found = {(r.query_class, r.class_id) for r in audio.align_recordings(rows).collect() if r.kind == "match" and r.overlap >= audio.WIDEST}
+    assert len(true) > 30 and len(true & found) >= 0.9 * len(true) and found <= true
+
+
 def test_silence_and_no_rows(spark):
     quiet = spark.createDataFrame([(1, bytes(20_000)), (50, bytes(20_000)), (2, b"\x01"), (3, None)], "rec_id long, pcm binary")
     found = audio.align_recordings(audio.fingerprint_audio(quiet)).collect()
