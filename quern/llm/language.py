@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ragged, released, slices, starts_of, table
+from .common import durable, ragged, released, slices, starts_of, table
 
 #: Buckets of hashed letter trigrams, added count of each, most languages of a model.
 BUCKETS, ADDED, MOST_LANGUAGES = 1 << 16, 0.5, 1000
@@ -101,16 +101,18 @@ def learn_languages(docs: DataFrame) -> LanguageModel:
     """Trigram counts of every language of ``docs`` (``text``, ``lang``), over all rows.
 
     Rows with a null lang are left out. A task adds its counts up before the
-    shuffle. The driver gets one row a language and bucket: ``BUCKETS`` times
-    ``MOST_LANGUAGES`` at most, beyond which the call fails.
+    shuffle. Languages are counted before anything is collected: beyond
+    ``MOST_LANGUAGES`` the call fails, and the driver gets one row a language and
+    bucket, ``BUCKETS`` times ``MOST_LANGUAGES`` at most.
     """
     counted = docs.where("lang is not null").select("text", "lang").mapInArrow(_counted, "lang string, bucket int, n long")
-    counted = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = durable(counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    found = counted.select("lang").distinct().count()
+    if found > MOST_LANGUAGES:
+        raise ValueError(f"{found} languages; a model holds {MOST_LANGUAGES} at most")
     rows = counted.toArrow()
     langs = np.array(rows.column("lang").to_pylist(), object)
     languages, code = np.unique(langs, return_inverse=True) if len(langs) else (langs, np.zeros(0, np.int64))
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; a model holds {MOST_LANGUAGES} at most")
     n = np.zeros((BUCKETS, len(languages)))
     np.add.at(n, (rows.column("bucket").to_numpy(), code), rows.column("n").to_numpy())
     seen = max(1, int((n.sum(axis=1) > 0).sum()))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import language
@@ -42,6 +43,15 @@ def test_odd_rows_and_no_model(spark):
     assert language.identify_languages(cases.empty(spark), nothing).count() == 0
 
 
+def test_too_many_languages_are_not_collected(spark, monkeypatch):
+    docs, collected = corpus(spark), []
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: collected.append(self.columns) or type(docs).collect(self))
+    with pytest.raises(ValueError, match="3 languages"):
+        language.learn_languages(docs)
+    assert not collected
+
+
 def test_shares_maximise_the_likelihood():
     rng = np.random.default_rng(2)
     log_p = np.log(rng.dirichlet(np.ones(3), 50))
