@@ -22,6 +22,19 @@ def test_approximate_distinct_is_within_its_bound(spark):
         assert abs(n - exact[flag]) <= 0.15 * exact[flag]
 
 
+@pytest.mark.parametrize("sf_dir", [SMALL, "/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_approximate_distinct_against_exact_counts(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from quern.sources import load
+
+    exact = {r[0]: r[1] for r in load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.countDistinct("l_partkey")).collect()}
+    found = {r[0]: r[1] for r in plans.QUERIES["approximate_distinct"](spark, sf_dir).collect()}
+    assert set(found) == set(exact)
+    for flag, n in found.items():  # two standard deviations
+        assert abs(n - exact[flag]) <= 2 * 0.02 * exact[flag], (flag, n, exact[flag])
+
+
 def test_entry_points(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
