@@ -21,8 +21,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told stay; the model is learnt from the input's ``lang``.
 
     Rejected are texts without a letter (null texts among them) and texts whose
-    main language has under ``LEAST_SHARE`` of the words. Without any ``lang``
-    nothing can be told, and only texts without a letter go.
+    main language has under ``LEAST_SHARE`` of the words, which takes four languages
+    or more. Shares say which language is likeliest, not how likely the text is, so
+    junk made of letters stays. Without any ``lang`` nothing can be told, and only
+    texts without a letter go.
     """
     model = language.learn_languages(docs)
     return docs.where(language.main_share(F.col("text"), model) >= (LEAST_SHARE if model.languages else 0))
