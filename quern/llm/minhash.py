@@ -228,7 +228,9 @@ def near_duplicates(
     chunks of bounded size, and one task compares two chunks: signatures first,
     then exact intersections; it returns a forest of confirmed links, not pairs.
     (4) The stars run again over confirmed links.
-    No link is lost but by a pair that shares no band (1e-7 at the least similarity).
+    A link is lost only by a pair that shares no band (1e-7 at the least similarity)
+    or whose signatures agree in too few places, ``DEVIATIONS`` below the least
+    similarity (4e-8 there with the defaults, a binomial tail of independent hashes).
     Work within a cluster of different near-copies is quadratic in its number of
     different texts, spread over tasks; copies of one text count once.
 
