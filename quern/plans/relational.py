@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exact_avg, exact_sum, money, net_price
 from ..operators import interval_join, top_k
-from ..sources import load, views
+from ..sources import durable, load, read, save, scratch
 
 #: DuckDB's form of ``net_price``.
 _NET = "(l_extendedprice::DECIMAL(18,2) * (1::DECIMAL(3,2) - l_discount::DECIMAL(3,2)))"
@@ -53,6 +55,7 @@ def shipping_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of users beside dear orders of customers; the price makes rows without a partner on both sides."""
     users = load(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("events"))
     orders = load(spark, sf_dir, "orders").where("o_totalprice > 300000").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"))
     both = users.join(orders, users["user_id"] == orders["o_custkey"], "full")
@@ -113,12 +116,37 @@ def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("o_custkey", "o_orderkey", "o_totalprice", "rank")
 
 
+def format_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and their rows as they come back from each format."""
+    rows = load(spark, sf_dir, "supplier")
+    with scratch(spark) as place:
+        found = None
+        for fmt in ("parquet", "orc", "csv", "json", "xml"):
+            save(rows, f"{place}/{fmt}", fmt)
+            own = read(spark, f"{place}/{fmt}", fmt, rows.schema).select(F.lit(fmt).alias("format"), *rows.columns)
+            found = own if found is None else found.unionByName(own)
+        lines = rows.select("s_name")
+        save(lines, f"{place}/text", "text")
+        names = read(spark, f"{place}/text", "text").select(F.lit("text").alias("format"), F.col("value").alias("s_name"))
+        return durable(found.unionByName(names, allowMissingColumns=True))
+
+
+def partitioned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written in a folder for each status; only the folder asked for is read."""
+    with scratch(spark) as place:
+        save(load(spark, sf_dir, "orders"), place, partition_by=("o_orderstatus",))
+        urgent = read(spark, place).where("o_orderstatus = 'F'")
+        return durable(urgent.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), exact_sum("o_totalprice").alias("total")))
+
+
 def _both(sql: str, *tables: str):
-    """A query whose SQL is the same in Spark and elsewhere."""
+    """A query whose SQL is the same in Spark and elsewhere; tables are named by path, so no view is made."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        views(spark, sf_dir, *tables)
-        return spark.sql(sql)
+        text = sql
+        for name in tables:
+            text = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 parquet.`{sf_dir}/{name}.parquet`", text)
+        return spark.sql(text)
 
     return run
 
@@ -127,6 +155,7 @@ SHARED = {
     "set_union": ("SELECT s_nationkey AS k FROM supplier UNION SELECT n_nationkey FROM nation", ("supplier", "nation")),
     "set_union_all": ("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier", ("customer", "supplier")),
     "set_intersect_all": ("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier", ("customer", "supplier")),
+    "set_intersect": ("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", ("customer", "supplier")),
     "set_except": ("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000", ("supplier", "nation")),
     "set_except_all": ("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier", ("customer", "supplier")),
     "cross_regions": ("SELECT a.r_name AS a, b.n_name AS b FROM region a CROSS JOIN nation b", ("region", "nation")),
@@ -172,6 +201,8 @@ QUERIES = {
     "unpivot_parts": unpivot_parts,
     "filtered_aggregates": filtered_aggregates,
     "top_orders": top_orders,
+    "format_round_trips": format_round_trips,
+    "partitioned_orders": partitioned_orders,
 } | {name: _both(sql, *tables) for name, (sql, tables) in SHARED.items()}
 
 SQL = {
@@ -217,4 +248,9 @@ SQL = {
     "top_orders": """
         SELECT o_custkey, o_orderkey, o_totalprice, rank::INT AS rank FROM (
             SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3""",
+    "format_round_trips": """
+        SELECT format, s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier, (VALUES ('parquet'), ('orc'), ('csv'), ('json'), ('xml')) f(format)
+        UNION ALL SELECT 'text', NULL, s_name, NULL, NULL FROM supplier""",
+    "partitioned_orders": """
+        SELECT o_orderpriority, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""",
 } | {name: sql for name, (sql, _) in SHARED.items()}

@@ -71,8 +71,7 @@ def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = load(spark, sf_dir, "embeddings").where("vec_id < 200")
-    flat = vectors.select("label", F.posexplode("embedding").alias("place", "x"))
+    flat = load(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("place", "x"))
     return flat.groupBy("label", "place").agg(F.max("x").alias("most"), F.min("x").alias("least"))
 
 
@@ -114,7 +113,113 @@ def approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
 
 
+def text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String functions that agree on ASCII."""
+    cust = load(spark, sf_dir, "customer")
+    return cust.select(
+        "c_custkey",
+        F.upper("c_name").alias("loud"),
+        F.lower("c_mktsegment").alias("quiet"),
+        F.substr("c_name", F.lit(10), F.lit(4)).alias("part"),
+        F.concat(F.col("c_mktsegment"), F.lit(":"), F.col("c_name")).alias("both"),
+        F.regexp_extract("c_name", "([1-9][0-9]*)$", 1).alias("digits"),
+        F.translate("c_mktsegment", "AEIOU", "aeiou").alias("swapped"),
+        F.instr("c_name", "#").alias("hash_at"),
+        F.reverse("c_mktsegment").alias("back"),
+        F.rtrim(F.rpad("c_mktsegment", 14, " ")).alias("trimmed"),
+    )
+
+
+def times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truncation, intervals and differences of timestamps."""
+    events = load(spark, sf_dir, "events")
+    first = F.lit("2024-01-01").cast("timestamp_ntz")
+    return events.select(
+        "event_id",
+        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour_start"),
+        (F.col("ts") + F.expr("INTERVAL 36 HOURS")).alias("later"),
+        F.add_months(F.col("ts").cast("date"), 1).alias("next_month"),
+        F.timestamp_diff("MINUTE", first, F.col("ts")).alias("minutes"),
+        F.date_format("ts", "yyyy/MM/dd HH:mm").alias("shown"),
+        (F.dayofweek("ts") - 1).alias("weekday"),
+        F.extract(F.lit("HOUR"), "ts").cast("int").alias("hour_no"),
+    )
+
+
+def quotients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Division, rounding and logarithms; the last digits of transcendental functions differ between machines and are rounded off."""
+    lines = load(spark, sf_dir, "lineitem")
+    return lines.select(
+        "l_orderkey",
+        "l_linenumber",
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"),
+        F.try_divide(F.col("l_extendedprice"), F.col("l_tax")).alias("by_tax"),
+        F.round(money("l_extendedprice"), 1).cast("double").alias("rounded"),
+        F.round(F.ln("l_extendedprice"), 9).alias("log_price"),
+        F.round(F.sqrt("l_quantity"), 9).alias("root"),
+        F.round(F.pow(F.col("l_discount") + 1, F.lit(3.0)), 9).alias("cubed"),
+        F.expr("l_partkey div 7").alias("whole"),
+        F.least("l_tax", "l_discount").alias("lesser"),
+    )
+
+
+def spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviations, correlation and kurtosis (population form), rounded."""
+    lines = load(spark, sf_dir, "lineitem")
+    return lines.groupBy("l_returnflag", "l_linestatus").agg(
+        F.round(F.stddev("l_quantity"), 6).alias("deviation"),
+        F.round(F.stddev_pop("l_quantity"), 6).alias("deviation_pop"),
+        F.round(F.var_pop("l_quantity"), 6).alias("variance_pop"),
+        F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("together"),
+        F.round(F.covar_samp("l_quantity", "l_discount"), 6).alias("covariance"),
+        F.round(F.kurtosis("l_quantity"), 5).alias("tails"),
+    )
+
+
+def middles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median, interpolated percentiles and the mode (of equally frequent values the least)."""
+    lines = load(spark, sf_dir, "lineitem")
+    return lines.groupBy("l_returnflag").agg(
+        F.median("l_quantity").alias("middle"),
+        F.round(F.expr("percentile_cont(0.9) WITHIN GROUP (ORDER BY l_extendedprice)"), 6).alias("p90"),
+        F.mode("l_quantity", True).alias("commonest"),
+    )
+
+
+def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON field by path, through the variant type, and as columns."""
+    events = load(spark, sf_dir, "events")
+    return events.select(
+        "event_id",
+        F.get_json_object("props", "$.k").alias("by_path"),
+        F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("by_variant"),
+        F.get_json_object("props", "$.none").alias("missing"),
+        F.to_json(F.struct(F.col("event_type").alias("t"), F.col("user_id").alias("u"))).alias("made"),
+    )
+
+
+def map_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps from arrays, with their values changed and filtered."""
+    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("s"))
+    built = lines.select("l_orderkey", F.map_from_arrays("s", F.transform("s", lambda x: x % 10)).alias("m"))
+    changed = built.select("l_orderkey", F.transform_values("m", lambda k, v: k + v).alias("m"))
+    even = F.map_filter("m", lambda k, v: v % 2 == 0)
+    return changed.select(
+        "l_orderkey",
+        F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"),
+        F.size(even).alias("even"),
+        F.array_max(F.map_keys("m")).alias("largest"),
+    )
+
+
 QUERIES = {
+    "text_parts": text_parts,
+    "times": times,
+    "quotients": quotients,
+    "spreads": spreads,
+    "middles": middles,
+    "json_paths": json_paths,
+    "map_functions": map_functions,
     "strings": strings,
     "dates": dates,
     "numbers": numbers,
@@ -128,6 +233,38 @@ QUERIES = {
 }
 
 SQL = {
+    "text_parts": """
+        SELECT c_custkey, upper(c_name) AS loud, lower(c_mktsegment) AS quiet, substr(c_name, 10, 4) AS part, c_mktsegment || ':' || c_name AS both,
+               regexp_extract(c_name, '([1-9][0-9]*)$', 1) AS digits, translate(c_mktsegment, 'AEIOU', 'aeiou') AS swapped, instr(c_name, '#')::INT AS hash_at,
+               reverse(c_mktsegment) AS back, rtrim(rpad(c_mktsegment, 14, ' ')) AS trimmed
+        FROM customer""",
+    "times": """
+        SELECT event_id, date_trunc('hour', ts)::TIMESTAMP AS hour_start, ts + INTERVAL 36 HOURS AS later, (ts::DATE + INTERVAL 1 MONTH)::DATE AS next_month,
+               floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 60000000)::BIGINT AS minutes, strftime(ts, '%Y/%m/%d %H:%M') AS shown,
+               dayofweek(ts)::INT AS weekday, hour(ts)::INT AS hour_no
+        FROM events""",
+    "quotients": """
+        SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS unit, l_extendedprice / nullif(l_tax, 0) AS by_tax,
+               round(l_extendedprice::DECIMAL(18,2), 1)::DOUBLE AS rounded, round(ln(l_extendedprice), 9) AS log_price, round(sqrt(l_quantity), 9) AS root,
+               round(pow(l_discount + 1, 3.0), 9) AS cubed, l_partkey // 7 AS whole, least(l_tax, l_discount) AS lesser
+        FROM lineitem""",
+    "spreads": """
+        SELECT l_returnflag, l_linestatus, round(stddev_samp(l_quantity), 6) AS deviation, round(stddev_pop(l_quantity), 6) AS deviation_pop,
+               round(var_pop(l_quantity), 6) AS variance_pop, round(corr(l_quantity, l_extendedprice), 6) AS together,
+               round(covar_samp(l_quantity, l_discount), 6) AS covariance,
+               round(avg((l_quantity - m) ** 4) / var_pop(l_quantity) ** 2 - 3, 5) AS tails
+        FROM (SELECT *, avg(l_quantity) OVER (PARTITION BY l_returnflag, l_linestatus) AS m FROM lineitem) GROUP BY 1, 2""",
+    "middles": """
+        WITH c AS (SELECT l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, l_quantity) AS place FROM lineitem GROUP BY 1, 2)
+        SELECT l_returnflag, median(l.l_quantity) AS middle, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, any_value(c.l_quantity) AS commonest
+        FROM lineitem l JOIN c USING (l_returnflag) WHERE place = 1 GROUP BY 1""",
+    "json_paths": """
+        SELECT event_id, json_extract_string(props, '$.k') AS by_path, json_extract(props, '$.k')::BIGINT AS by_variant, json_extract_string(props, '$.none') AS missing,
+               '{"t":"' || event_type || '","u":' || user_id || '}' AS made
+        FROM events""",
+    "map_functions": """
+        SELECT l_orderkey, sum(p + p % 10)::BIGINT AS total, (count(*) FILTER ((p + p % 10) % 2 = 0))::INT AS even, max(p) AS largest
+        FROM (SELECT DISTINCT l_orderkey, l_partkey AS p FROM lineitem) GROUP BY 1""",
     "strings": """
         SELECT p_partkey, length(p_name)::INT AS n, lpad(p_partkey::VARCHAR, 8, '0') AS padded, md5(p_name) AS digest, split_part(p_name, ' ', 1) AS first_word,
                levenshtein(p_name, p_type)::INT AS distance, concat_ws('/', p_brand, p_type) AS joined, regexp_replace(p_name, '[aeiou]', '', 'g') AS consonants
@@ -148,7 +285,7 @@ SQL = {
         FROM (SELECT l_orderkey, list_sort(list_distinct(list(l_suppkey))) AS s FROM lineitem GROUP BY 1)""",
     "exploded": """
         SELECT label, (k - 1)::INT AS place, max(embedding[k]) AS most, min(embedding[k]) AS least
-        FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings WHERE vec_id < 200) GROUP BY ALL""",
+        FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings) GROUP BY ALL""",
     "maps": """
         SELECT user_id, coalesce(sum(n) FILTER (event_type = 'click'), 0)::BIGINT AS clicks, count(*)::INT AS kinds, string_agg(event_type, ',' ORDER BY event_type) AS names
         FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1""",
