@@ -6,22 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import carried, quoted, ranged, unused
+
 
 def as_of_join(left: DataFrame, right: DataFrame, key: str, time: str, columns: list[str]) -> DataFrame:
     """Each left row with ``columns`` of the last right row of its key at or before its time.
 
-    Both sides go through one shuffle and one sort by (key, time), and a window
-    carries the last right row forward; there is no join, so a busy key costs its
-    rows once, not pairs. Right rows of one key and time: the largest by ``columns``
-    counts. Left rows without a right row have nulls; so have those with a null key,
-    which are not shuffled.
+    Both sides are sorted together by (key, time) into ranges of bounded size, and a
+    window carries the last right row forward within each range; where a range
+    begins inside a key, the last right row of the ranges before it comes from one row a
+    range. So a key that holds a large share of the rows lies in many ranges, and
+    there is no join of rows. Right rows of one key and time: the largest by
+    ``columns`` counts. Left rows without a right row have nulls; so have those with a
+    null key, which are not shuffled. Rows whose time is null come first.
     """
     keyed, bare = left.where(F.col(key).isNotNull()), left.where(F.col(key).isNull())
-    a = keyed.select(F.col(key).alias("_key"), F.col(time).alias("_time"), F.lit(1).alias("_side"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"))
-    b = right.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(time).alias("_time"), F.lit(0).alias("_side"), F.struct(*columns).alias("_last"))
-    until = W.partitionBy("_key").orderBy("_time", "_side", "_last").rowsBetween(W.unboundedPreceding, W.currentRow)
-    both = a.unionByName(b, allowMissingColumns=True)
-    found = both.withColumn("_last", F.last("_last", ignorenulls=True).over(until)).where("_side = 1").select("_row.*", *[F.col("_last")[c].alias(c) for c in columns])
+    a = keyed.select(F.col(key).alias("key"), F.col(time).alias("time"), F.lit(1).alias("side"), F.struct(*[F.col(quoted(c)) for c in left.columns]).alias("row"))
+    b = right.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(time).alias("time"), F.lit(0).alias("side"), F.struct(*columns).alias("last"))
+    order = ["key", "time", "side", "last"]
+    both = ranged(a.unionByName(b, allowMissingColumns=True), order)
+    until = W.partitionBy("range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    known = F.when(F.col("side") == 0, F.struct("key", "last"))
+    both = both.withColumn("known", F.last(known, ignorenulls=True).over(until))
+    ends = carried(both.where("side = 0"), F.max_by(F.struct("key", "last"), F.struct("key", "time", "last")), both)
+    found = both.where("side = 1").join(ends, "range", "left").withColumn("known", F.coalesce("known", "carried"))
+    held = F.when(F.col("known.key") == F.col("key"), F.col("known.last"))
+    found = found.select("row.*", *[held[c].alias(c) for c in columns])
     kinds = dict(right.dtypes)
     return found.union(bare.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in columns]))
 
@@ -33,10 +43,11 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, begin: str,
     hashed instead of nested. An interval takes part in (end - begin) / width + 1
     buckets; a pair is found in the point's bucket alone, so it comes out once.
     """
+    bucket = unused("bucket", points, intervals)
     spread = F.sequence(F.floor(F.col(begin) / width), F.floor(F.col(end) / width))
-    laid = intervals.where(F.col(begin) < F.col(end)).withColumn("_bucket", F.explode(spread))
-    dealt = points.withColumn("_bucket", F.floor(F.col(at) / width))
-    return dealt.join(laid, "_bucket").where((F.col(at) >= F.col(begin)) & (F.col(at) < F.col(end))).drop("_bucket")
+    laid = intervals.where(F.col(begin) < F.col(end)).withColumn(bucket, F.explode(spread))
+    dealt = points.withColumn(bucket, F.floor(F.col(at) / width))
+    return dealt.join(laid, bucket).where((F.col(at) >= F.col(begin)) & (F.col(at) < F.col(end))).drop(bucket)
 
 
 def salted_join(large: DataFrame, small: DataFrame, key: str, salts: int, how: str = "inner") -> DataFrame:
@@ -47,6 +58,7 @@ def salted_join(large: DataFrame, small: DataFrame, key: str, salts: int, how: s
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a salted join can't be {how}")
-    spread = large.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in large.columns]), F.lit(salts)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, [key, "_salt"], how).drop("_salt")
+    salt = unused("salt", large, small)
+    spread = large.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in large.columns]), F.lit(salts)).cast("int"))
+    repeated = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(repeated, [key, salt], how).drop(salt)

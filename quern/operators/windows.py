@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import durable
+from .ranges import carried, quoted, ranged
+
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group, with ``rank`` from 1.
@@ -16,8 +19,25 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
 
 
 def gap_sessions(df: DataFrame, key: str, time: str, gap_seconds: int) -> DataFrame:
-    """``df`` with ``session``, a key's number from 0 of the run of rows without a longer gap."""
-    own = W.partitionBy(key).orderBy(time)
-    seconds = F.unix_micros(F.col(time).cast("timestamp"))
-    fresh = (seconds - F.lag(seconds).over(own) > gap_seconds * 1_000_000).cast("long")
-    return df.withColumn("_fresh", F.coalesce(fresh, F.lit(0))).withColumn("session", F.sum("_fresh").over(own)).drop("_fresh")
+    """``df`` with ``session``, a key's number from 0 of the run of rows without a longer gap.
+
+    Rows are sorted by (key, time) into ranges of bounded size, which a key with a large
+    share of the rows spans many of. A range's first row looks back to the end of
+    the ranges before it, and a key's sessions are summed over its ranges from
+    one row a key and range. Rows whose time is null are in a key's session 0.
+    """
+    rows = df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"), F.col(key).alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"))
+    rows = ranged(rows, ["key", "at"])
+    own = W.partitionBy("range").orderBy("key", "at")
+    ends = carried(rows, F.max_by(F.struct("key", "at"), F.struct(F.col("key").isNotNull(), "key", "at")), rows)
+    previous = F.coalesce(F.lag(F.struct("key", "at")).over(own), F.col("carried"))
+    rows = rows.join(ends, "range", "left").withColumn("previous", previous)
+    fresh = F.col("previous.key").eqNullSafe(F.col("key")) & (F.col("at") - F.col("previous.at") > gap_seconds * 1_000_000)
+    rows = rows.withColumn("fresh", F.coalesce(fresh, F.lit(False)).cast("long"))
+    until = W.partitionBy("range", "key").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    rows = durable(rows.select("row", "key", "range", F.sum("fresh").over(until).alias("here"), "fresh"))
+    before = W.partitionBy("key").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy("key", "range").agg(F.sum("fresh").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    sums = durable(sums.select(F.col("key").alias("of"), F.col("range").alias("in_range"), "before"))
+    joined = rows.join(sums, (rows["range"] == sums["in_range"]) & rows["key"].eqNullSafe(sums["of"]))
+    return joined.select("row.*", (F.col("before") + F.col("here")).alias("session"))

@@ -30,9 +30,14 @@ def vector_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", check_digit("l_orderkey", "l_linenumber").alias("digit"))
 
 
-@F.pandas_udf("double")
-def _span(values: pd.Series) -> float:
-    return float(values.max() - values.min())
+def _span(column: str):
+    """Largest less least value, as a pandas aggregate."""
+
+    @F.pandas_udf("double")
+    def span(values: pd.Series) -> float:
+        return float(values.max() - values.min())
+
+    return span(column)
 
 
 def aggregate_udf(spark: SparkSession, sf_dir: str) -> DataFrame:

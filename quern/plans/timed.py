@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..functions import money
 from ..operators import as_of_join, gap_sessions
-from ..sources import load
+from ..sources import durable, load, save, scratch
 
 
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,24 +75,100 @@ def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("w.start").alias("window_start"), "n", "users")
 
 
-def _streamed(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:
-    """Run a streaming query over the events table and give what it wrote."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-stream-")
-    place = f"{shared}/stream-{uuid.uuid4().hex}"
-    schema = load(spark, sf_dir, "events").schema
-    stream = build(streaming.timed(streaming.arriving(spark, sf_dir, schema, "events.parquet")))
-    return streaming.drained(stream, mode, f"{place}/checkpoint", f"{place}/out")
+Build = Callable[[DataFrame], DataFrame]
+
+
+def _source(spark: SparkSession, folder: str, sf_dir: str, files: str = "*.parquet") -> DataFrame:
+    return streaming.timed(streaming.arriving(spark, folder, load(spark, sf_dir, "events").schema, files))
+
+
+def _streamed(spark: SparkSession, sf_dir: str, build: Build, mode: str = "append") -> DataFrame:
+    """Run a streaming query over the events table and give what it wrote; its state is deleted."""
+    with scratch(spark) as place:
+        return durable(streaming.drained(build(_source(spark, sf_dir, sf_dir, "events.parquet")), mode, f"{place}/state", f"{place}/out"))
+
+
+def _wall_clock(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts in complete mode: all windows, those still open too."""
-    out = _streamed(spark, sf_dir, lambda s: streaming.window_counts(s, "1 day", None, "event_type"), "complete")
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return _wall_clock(_streamed(spark, sf_dir, lambda s: streaming.window_counts(s, "1 day", None, "event_type"), "complete"), "window_start")
+
+
+def stream_tumbling_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts, each written once when the watermark has passed the window's end."""
+    return _wall_clock(_streamed(spark, sf_dir, lambda s: streaming.window_counts(s, "1 day", None, "event_type")), "window_start")
+
+
+def stream_sliding_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wall_clock(_streamed(spark, sf_dir, lambda s: streaming.window_counts(s, "2 days", "1 day")), "window_start")
+
+
+def stream_sessions_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a user that the watermark has closed."""
+    return _wall_clock(_streamed(spark, sf_dir, lambda s: streaming.session_counts(s, "1 hour", "user_id")), "session_start", "session_end")
 
 
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose id has not been seen within the watermark: all of them, as ids are unique."""
-    return _streamed(spark, sf_dir, lambda s: streaming.first_seen(s, "event_id").select("event_id", "user_id"), "append")
+    return _streamed(spark, sf_dir, lambda s: streaming.first_seen(s, "event_id").select("event_id", "user_id"))
+
+
+def _in_two_runs(spark: SparkSession, sf_dir: str, halves: tuple[DataFrame, DataFrame], build: Build) -> DataFrame:
+    """The same streaming query over two loads that arrive one after the other; the second run takes up the first one's state."""
+    with scratch(spark) as place:
+        for half in halves:
+            half.write.mode("append").parquet(f"{place}/in")
+            stream = streaming.timed(streaming.arriving(spark, f"{place}/in", half.schema, files_a_trigger=1 << 30))
+            out = streaming.drained(build(stream), "append", f"{place}/state", f"{place}/out")
+        return durable(out)
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = load(spark, sf_dir, "events")
+    return events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")
+
+
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd events arrive when the even ones have moved the watermark on: those of closed windows are dropped."""
+    return _wall_clock(_in_two_runs(spark, sf_dir, _halves(spark, sf_dir), lambda s: streaming.window_counts(s, "1 day", None)), "window_start")
+
+
+def stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events arrive, and then those of the last day again: the repeats are dropped within the watermark."""
+    events = load(spark, sf_dir, "events")
+    last_day = events.crossJoin(F.broadcast(events.agg(F.max("ts").alias("last")))).where("ts > last - INTERVAL 1 DAY").drop("last")
+    return _in_two_runs(spark, sf_dir, (events, last_day), lambda s: streaming.first_seen(s, "event_id").select("event_id", "user_id"))
+
+
+def stream_purchases_after_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stream-stream join: purchases of a user within an hour after a click."""
+
+    def build(stream: DataFrame) -> DataFrame:
+        clicks = stream.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), F.col("user_id").alias("clicker"), F.col("ts").alias("clicked"))
+        bought = stream.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", "ts")
+        near = (F.col("user_id") == F.col("clicker")) & F.col("ts").between(F.col("clicked"), F.col("clicked") + F.expr("INTERVAL 1 HOUR"))
+        return clicks.join(bought, near).select("click_id", "purchase_id")
+
+    return _streamed(spark, sf_dir, build)
+
+
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events so far and their largest value, kept as one's own state over two runs; the last word counts."""
+
+    def running(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n, most = state.get if state.exists else (0, 0.0)
+        for frame in frames:
+            n, most = n + len(frame), max(most, float(frame["value"].max()))
+        state.update((n, most))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "most": [most]})
+
+    shape = "user_id long, n long, most double"
+    build = lambda s: s.groupBy("user_id").applyInPandasWithState(running, shape, "n long, most double", "append", "NoTimeout")
+    told = _in_two_runs(spark, sf_dir, _halves(spark, sf_dir), build)
+    return told.groupBy("user_id").agg(F.max("n").alias("n"), F.max("most").alias("most"))
 
 
 QUERIES = {
@@ -105,8 +181,18 @@ QUERIES = {
     "sliding": sliding,
     "stream_tumbling": stream_tumbling,
     "stream_first_seen": stream_first_seen,
+    "stream_tumbling_append": stream_tumbling_append,
+    "stream_sliding_append": stream_sliding_append,
+    "stream_sessions_append": stream_sessions_append,
+    "stream_late_rows": stream_late_rows,
+    "stream_repeats": stream_repeats,
+    "stream_purchases_after_clicks": stream_purchases_after_clicks,
+    "stream_state": stream_state,
 }
 
+#: The watermark of a stream that has seen all events, and of one that has seen the even ones.
+_MARK = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
+_EVEN_MARK = "(SELECT max(ts) - INTERVAL 1 DAY FROM events WHERE event_id % 2 = 0)"
 _DAILY = "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"
 SQL = {
     "ranks": """
@@ -136,4 +222,22 @@ SQL = {
         FROM (SELECT user_id, unnest([date_trunc('day', ts)::TIMESTAMP, (date_trunc('day', ts) - INTERVAL 1 DAY)::TIMESTAMP]) AS w FROM events) GROUP BY 1""",
     "stream_tumbling": _DAILY,
     "stream_first_seen": "SELECT event_id, user_id FROM events",
+    "stream_repeats": "SELECT event_id, user_id FROM events",
+    "stream_tumbling_append": f"SELECT * FROM ({_DAILY}) WHERE window_start + INTERVAL 1 DAY <= {_MARK}",
+    "stream_sliding_append": f"""
+        SELECT w AS window_start, count(*) AS n
+        FROM (SELECT unnest([date_trunc('day', ts)::TIMESTAMP, (date_trunc('day', ts) - INTERVAL 1 DAY)::TIMESTAMP]) AS w FROM events)
+        WHERE w + INTERVAL 2 DAYS <= {_MARK} GROUP BY 1""",
+    "stream_sessions_append": f"""
+        WITH g AS (SELECT *, coalesce((ts >= lag(ts) OVER w + INTERVAL 1 HOUR)::INT, 0) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+             s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
+        SELECT min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS session_end, user_id, count(*) AS n FROM s GROUP BY user_id, session
+        HAVING session_end <= {_MARK}""",
+    "stream_late_rows": f"""
+        SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS n FROM events
+        WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {_MARK} AND (event_id % 2 = 0 OR date_trunc('day', ts) + INTERVAL 1 DAY > {_EVEN_MARK}) GROUP BY 1""",
+    "stream_purchases_after_clicks": """
+        SELECT c.event_id AS click_id, p.event_id AS purchase_id FROM events c JOIN events p
+             ON c.user_id = p.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 1 HOUR WHERE c.event_type = 'click' AND p.event_type = 'purchase'""",
+    "stream_state": "SELECT user_id, count(*) AS n, max(value) AS most FROM events GROUP BY 1",
 }

@@ -48,7 +48,7 @@ def test_sessions_split_at_gaps(spark):
     assert sorted((r.k, r.t.minute, r.session) for r in gap_sessions(df, "k", "t", 120).collect()) == [(1, 0, 0), (1, 1, 0), (1, 9, 1), (2, 9, 0)]
 
 
-@pytest.mark.parametrize("fmt", ["parquet", "orc", "csv", "json"])
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "csv", "json", "xml"])
 def test_formats_keep_rows(spark, tmp_path, fmt):
     df = spark.createDataFrame([(1, 'a "b", c', dt.datetime(2024, 1, 2, 3, 4, 5, 678)), (2, "x\ty", None)], "i int, s string, t timestamp_ntz")
     sources.save(df, str(tmp_path / fmt), fmt)
@@ -88,3 +88,71 @@ def test_sessions_over_a_stream(spark, tmp_path):
     stream = streaming.timed(streaming.arriving(spark, str(tmp_path / "in"), df.schema), delay="1 minute")
     out = streaming.drained(streaming.session_counts(stream, "5 minutes", "k"), "append", str(tmp_path / "c"), str(tmp_path / "o"))
     assert [(r.session_start.minute, r.n) for r in out.collect()] == [(0, 2)]
+
+
+def _largest_share(df) -> float:
+    """Rows of the largest range that a window holds whole, as a share of all."""
+    sizes = [r["count"] for r in df.groupBy("range").count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_a_hot_key_lies_in_many_ranges(spark):
+    from quern.operators.ranges import ranged
+
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("key"), (F.col("id") * 7919 % 9000).alias("at"))
+    assert _largest_share(ranged(df, ["key", "at"], rows=500)) < 3 * 500 / 9000
+
+
+@pytest.fixture
+def narrow_ranges(monkeypatch):
+    from quern.operators import joins, ranges, windows
+
+    small = lambda df, order, rows=0: ranges.ranged(df, order, 40)
+    monkeypatch.setattr(joins, "ranged", small)
+    monkeypatch.setattr(windows, "ranged", small)
+
+
+def test_as_of_join_across_ranges_of_a_hot_key(spark, narrow_ranges):
+    left = [(i if i % 3 else -1, i * 7919 % 1000, i) for i in range(900)] + [(None, 4, 900)]
+    right = [(-1, t, f"h{t}") for t in (3, 400, 401, 777)] + [(i, 500, f"k{i}") for i in range(0, 900, 7)] + [(None, 0, "n")]
+    found = as_of_join(spark.createDataFrame(left, "k int, range int, key int"), spark.createDataFrame(right, "k int, range int, v string"), "k", "range", ["v"])
+    assert found.columns == ["k", "range", "key", "v"]
+
+    def last(k, t):
+        return max(((u, v) for j, u, v in right if k is not None and j == k and u <= t), default=(None, None))[1]
+
+    assert sorted(found.collect(), key=lambda r: r["key"]) == [(k, t, i, last(k, t)) for k, t, i in left]
+
+
+def test_sessions_across_ranges_of_a_hot_key(spark, narrow_ranges):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i if i % 3 else -1, start + dt.timedelta(seconds=(i * 7919 % 5000)), i) for i in range(600)] + [(None, start, 600), (None, start + dt.timedelta(hours=1), 601)]
+    rows += [(-1, rows[0][1], 602)]  # a tie
+    df = spark.createDataFrame(rows, "k int, t timestamp_ntz, fresh int")
+    by_key: dict = {}
+    for k, t, i in sorted(rows, key=lambda r: r[1]):
+        by_key.setdefault(k, []).append((t, i))
+    expected = {}
+    for run in by_key.values():
+        session = 0
+        for n, (t, i) in enumerate(run):
+            session += n > 0 and (t - run[n - 1][0]).total_seconds() > 20
+            expected[i] = session
+    found = gap_sessions(df, "k", "t", 20)
+    assert found.columns == ["k", "t", "fresh", "session"]
+    assert {r["fresh"]: r["session"] for r in found.collect()} == expected
+
+
+def test_helper_columns_do_not_clash(spark):
+    points, spans = spark.createDataFrame([(5.0, 1)], "x double, bucket int"), spark.createDataFrame([(0.0, 9.0, 2)], "a double, b double, _bucket int")
+    assert interval_join(points, spans, "x", "a", "b", 4.0).columns == ["x", "bucket", "a", "b", "_bucket"]
+    df = spark.createDataFrame([(1, 2)], "k int, salt int")
+    assert salted_join(df, df.withColumnRenamed("salt", "w"), "k", 4).columns == ["k", "salt", "w"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    spark = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None), conf=SimpleNamespace(get=lambda k, d: d))
+    with pytest.raises(ValueError):
+        sources.shared_folder(spark)
