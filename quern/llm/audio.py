@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, ragged, segment_sums, starts_of, table
-from .exact_dedup import _words
 
 #: Samples a second, of an analysis window, and between windows.
 RATE, WINDOW, HOP = 4096, 1024, 512
@@ -149,6 +148,12 @@ def _errors(batches: Iterator[pa.RecordBatch], most_errors: float) -> Iterator[p
         yield pa.RecordBatch.from_arrays(ids + own, names=["query_class", "class_id", "offset", "votes", "overlap", "wrong_bits"])
 
 
+def _words(cells: DataFrame) -> DataFrame:
+    """A filter as rows (word, bits) with 64 cells to a word."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("cell", F.lit(64)).cast("int"))
+    return cells.groupBy(F.floor(F.col("cell") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
 def _probes(wanted: DataFrame, postings: DataFrame) -> DataFrame:
     """Prints up to ``NEAR`` bits away from those wanted, less most that no posting has.
 
