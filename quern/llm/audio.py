@@ -8,10 +8,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, ragged, segment_sums, starts_of, table
+from .common import durable, ragged, segment_sums, slices, starts_of, table
 
 #: Samples a second, of an analysis window, and between windows.
 RATE, WINDOW, HOP = 4096, 1024, 512
@@ -21,8 +21,10 @@ LOWEST, HIGHEST = 55.0, 1760.0
 WIDEST, MOST_ERRORS = 8, 0.2
 #: Wrong bits of a print up to which it is looked up, and the bits of the filter of prints: 2^20 words at most.
 NEAR, FILTER_BITS = 2, 1 << 26
-#: Frames that are compared together.
-SLICE = 1 << 20
+#: Prints on each side of a print that must be near too, and the wrong bits that they may have on the average.
+CONTEXT, CONTEXT_BITS = 4, 7
+#: Frames that are compared together, frames whose spectra are held at once, bytes of recordings that are worked on together.
+SLICE, SPECTRA, PCM_BYTES = 1 << 20, 1 << 12, 4 << 20
 
 
 def filter_bank() -> list[tuple[int, int, int, int]]:
@@ -31,14 +33,19 @@ def filter_bank() -> list[tuple[int, int, int, int]]:
 
 
 def chroma(pcm: np.ndarray, rate: int = RATE, window: int = WINDOW, hop: int = HOP) -> np.ndarray:
-    """Energy of the twelve pitch classes in each window of samples, as shares of the window's energy."""
-    frames = np.lib.stride_tricks.sliding_window_view(pcm, window)[::hop] * np.hanning(window).astype(np.float32)
-    energy = np.abs(np.fft.rfft(frames, axis=1)) ** 2
+    """Energy of the twelve pitch classes in each window of samples, as shares of the window's energy.
+
+    Spectra are made for ``SPECTRA`` windows at a time, so a long recording needs little more than its samples.
+    """
     freq = np.fft.rfftfreq(window, 1 / rate)
     used = np.flatnonzero((freq >= LOWEST) & (freq <= HIGHEST))
     to_class = np.zeros((len(used), 12))
     to_class[np.arange(len(used)), np.round(12 * np.log2(freq[used] / 440.0)).astype(int) % 12] = 1
-    out = energy[:, used] @ to_class
+    windows = np.lib.stride_tricks.sliding_window_view(pcm, window)[::hop]
+    out = np.empty((len(windows), 12))
+    for i in range(0, len(windows), SPECTRA):
+        frames = windows[i : i + SPECTRA].astype(np.float32) * np.hanning(window).astype(np.float32)
+        out[i : i + SPECTRA] = (np.abs(np.fft.rfft(frames, axis=1)) ** 2)[:, used] @ to_class
     return out / np.maximum(out.sum(axis=1, keepdims=True), 1e-12)
 
 
@@ -93,11 +100,12 @@ def tones(values: np.ndarray, rate: int = RATE, samples: int = HOP) -> np.ndarra
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = []
-        for pcm in batch.column(1).to_pylist():
-            x = np.frombuffer(pcm or b"", "<i2", count=len(pcm or b"") // 2).astype(np.float32)
-            found.append(fingerprint(chroma(x)) if len(x) >= WINDOW else np.zeros(0, np.uint32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.astype("<u4").tobytes() for f in found], pa.binary())], names=["rec_id", "prints"])
+        for own, recordings in slices(batch, "pcm", PCM_BYTES):
+            found = []
+            for pcm in recordings:
+                x = np.frombuffer(pcm, "<i2", count=len(pcm) // 2)
+                found.append(fingerprint(chroma(x)) if len(x) >= WINDOW else np.zeros(0, np.uint32))
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([f.astype("<u4").tobytes() for f in found], pa.binary())], names=["rec_id", "prints"])
 
 
 def fingerprint_audio(recordings: DataFrame) -> DataFrame:
@@ -110,15 +118,35 @@ def fingerprint_audio(recordings: DataFrame) -> DataFrame:
     return recordings.selectExpr("cast(rec_id as long) rec_id", "pcm").mapInArrow(_prints, "rec_id long, prints binary")
 
 
+_SIDES = [d for d in range(-CONTEXT, CONTEXT + 1) if d]
+_AROUND = [f"c{i}" for i in range(len(_SIDES) // 2)]
+
+
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Prints of each class with their places."""
+    """Prints of each class with their places, and the prints around them: two to a number, with a bit for each that is there."""
     for batch in batches:
-        blobs = batch.column(1).to_pylist()
-        counts = np.array([len(b) // 4 for b in blobs], np.int64)
-        owner = np.repeat(np.arange(len(blobs)), counts)
-        prints = np.frombuffer(b"".join(blobs), "<u4").astype(np.int64)
-        places = ragged(np.zeros(len(counts), np.int64), counts).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(prints), pa.array(places)], names=["class_id", "print", "place"])
+        for own, blobs in slices(batch, "prints", PCM_BYTES):
+            counts = np.array([len(b) // 4 for b in blobs], np.int64)
+            owner = np.repeat(np.arange(len(blobs)), counts)
+            prints = np.frombuffer(b"".join(blobs), "<u4").astype(np.int64)
+            places = ragged(np.zeros(len(counts), np.int64), counts)
+            here, around = np.zeros(len(prints), np.int32), np.zeros((len(_AROUND), len(prints)), np.int64)
+            for i, d in enumerate(_SIDES):
+                there = (places + d >= 0) & (places + d < counts[owner])
+                here |= there.astype(np.int32) << i
+                around[i // 2] |= np.where(there, np.roll(prints, -d), 0) << (32 * (i % 2))
+            arrays = [own.column(0).take(pa.array(owner)), pa.array(prints), pa.array(places.astype(np.int32)), pa.array(here), *map(pa.array, around)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["class_id", "print", "place", "here", *_AROUND])
+
+
+def _near_context() -> Column:
+    """The prints around two prints, as far as both recordings have them, differ in few bits on the average."""
+    both = F.col("here").bitwiseAND(F.col("q_here"))
+    wrong = F.bit_count("flipped")
+    for i, c in enumerate(_AROUND):
+        lanes = [F.when(F.shiftright(both, 2 * i + k).bitwiseAND(F.lit(1)) == 1, F.lit((0xFFFFFFFF << (32 * k)) - (1 << 64 if k else 0))).otherwise(F.lit(0)) for k in (0, 1)]
+        wrong = wrong + F.bit_count(F.col(c).bitwiseXOR(F.col(f"q_{c}")).bitwiseAND(lanes[0].bitwiseOR(lanes[1])))
+    return wrong <= CONTEXT_BITS * (F.bit_count(both) + 1)
 
 
 def _errors(batches: Iterator[pa.RecordBatch], most_errors: float) -> Iterator[pa.RecordBatch]:
@@ -178,7 +206,9 @@ def align_recordings(prints: DataFrame, *, every: int = 50, most_errors: float =
     ``votes``, ``overlap`` (frames) and ``wrong_bits``, of which the share is at most ``most_errors``.
 
     Method. Prints of queries meet prints of all classes that differ in ``NEAR`` bits
-    at most; the histogram of their offsets is summed before the shuffle. At every
+    at most and have prints around them (``CONTEXT`` on each side) that differ in ``CONTEXT_BITS``
+    bits on the average at most, which few meets by chance have; the histogram of their
+    offsets is summed before the shuffle. At every
     offset with two votes, or one by a print with one wrong bit at most, the bit errors
     are counted; of those within the bound the one with most votes is reported
     (ties: the longest overlap, then the least offset).
@@ -197,12 +227,13 @@ def align_recordings(prints: DataFrame, *, every: int = 50, most_errors: float =
     classes = heard.groupBy("sha").agg(F.min("rec_id").alias("class_id"), F.bool_or(F.pmod("rec_id", F.lit(every)) == 0).alias("asked"), F.min("prints").alias("prints"))
     classes = durable(classes)
     own = classes.select("class_id", "prints")
-    postings = durable(own.mapInArrow(_postings, "class_id long, print long, place int"))
+    around = "here int, " + ", ".join(f"{c} long" for c in _AROUND)
+    postings = durable(own.mapInArrow(_postings, f"class_id long, print long, place int, {around}"))
     asked = durable(classes.where("asked").select(F.col("class_id").alias("query_class"), F.col("prints").alias("query_prints")))
     wanted = postings.join(asked.select(F.col("query_class").alias("class_id")), "class_id", "left_semi")
-    wanted = durable(wanted.select(F.col("class_id").alias("query_class"), "print", F.col("place").alias("query_place")))
-    near = _probes(wanted, postings)
-    votes = postings.join(near, "print").where("class_id != query_class")
+    wanted = durable(wanted.select(F.col("class_id").alias("query_class"), "print", F.col("place").alias("query_place"), *[F.col(c).alias(f"q_{c}") for c in ("here", *_AROUND)]))
+    near = _probes(wanted, postings).withColumnRenamed("print", "probe")
+    votes = postings.join(near, (F.col("print") == F.col("probe")) & (F.col("class_id") != F.col("query_class")) & _near_context())
     votes = votes.groupBy("query_class", "class_id", (F.col("place") - F.col("query_place")).alias("offset")).agg(
         F.count(F.lit(1)).alias("votes"), F.min(F.bit_count("flipped")).alias("bits")
     )
@@ -220,19 +251,38 @@ def align_recordings(prints: DataFrame, *, every: int = 50, most_errors: float =
 _MATCH = (("query_class", "long"), ("offset", "int"), ("votes", "long"), ("overlap", "int"), ("wrong_bits", "long"))
 
 
-def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rendered(batches: Iterator[pa.RecordBatch], excerpts: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            pcm = [(tones(np.array(v or [], np.float64)) * 16000).astype("<i2").tobytes() for v in part.column(1).to_pylist()]
+        for i in range(0, batch.num_rows, 64):
+            part = batch.slice(i, 64)
+            pcm = []
+            for rec_id, notes in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                wave = tones(np.array(notes or [], np.float64)) * 16000
+                if excerpts:
+                    wave = wave[len(wave) // 4 : len(wave) - len(wave) // 4]
+                    wave = wave + np.random.default_rng(abs(rec_id or 0)).normal(0, 300, len(wave))
+                pcm.append(np.clip(wave, -32768, 32767).astype("<i2").tobytes())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pcm, pa.binary())], names=["rec_id", "pcm"])
 
 
-def melodies(vectors: DataFrame) -> DataFrame:
-    """``rec_id`` and ``pcm`` of vectors (``vec_id``, ``embedding``): a note a number. The tables hold no audio of their own."""
-    return vectors.selectExpr("cast(vec_id as long) vec_id", "embedding").mapInArrow(_rendered, "rec_id long, pcm binary")
+def melodies(vectors: DataFrame, *, excerpts: bool = False) -> DataFrame:
+    """``rec_id`` and ``pcm`` of vectors (``vec_id``, ``embedding``): a note a number. The tables hold no audio of their own.
+
+    With ``excerpts`` the middle half of each melody under some noise.
+    """
+    return vectors.selectExpr("cast(vec_id as long) vec_id", "embedding").mapInArrow(partial(_rendered, excerpts=excerpts), "rec_id long, pcm binary")
+
+
+def recorded(vectors: DataFrame, every: int = 50) -> DataFrame:
+    """All vectors as melodies, and a noisy excerpt of each whose id is divisible by ``every``.
+
+    The excerpt of vector v is a recording of its own, with the id -v - ``every``, so that
+    every table holds recordings that truly belong together.
+    """
+    asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("vec_id", -F.col("vec_id") - every)
+    return melodies(vectors).union(melodies(asked, excerpts=True))
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All embeddings, played as melodies, against the queries among them."""
-    return align_recordings(fingerprint_audio(melodies(table(spark, sf_dir, "embeddings")))).withColumnRenamed("rec_id", "vec_id")
+def query(spark: SparkSession, sf_dir: str, every: int = 50) -> DataFrame:
+    """All embeddings, played as melodies, against the queries among them and a noisy excerpt of each query."""
+    return align_recordings(fingerprint_audio(recorded(table(spark, sf_dir, "embeddings"), every)), every=every).withColumnRenamed("rec_id", "vec_id")

@@ -70,10 +70,11 @@ def test_recall_at_all_offsets(spark, noise):
 def test_recall_on_the_embeddings(spark):
     """The query itself misses one pair of sf0.01, alike by chance in 12 frames; noisy excerpts of the embeddings are found."""
     vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    x = {r.rec_id: np.frombuffer(r.prints, "<u4") for r in audio.fingerprint_audio(audio.melodies(vectors)).collect()}
+    x = {r.rec_id: np.frombuffer(r.prints, "<u4") for r in audio.fingerprint_audio(audio.recorded(vectors)).collect()}
     true = {(q, i) for q in x if q % 50 == 0 for i in x if not np.array_equal(x[i], x[q]) and within(x[q], x[i], audio.WIDEST)}
     found = {(r.query_class, r.class_id) for r in audio.query(spark, "/root/testdata/sf0.01").collect() if r.kind == "match" and r.overlap >= audio.WIDEST}
     assert found <= true and not any(within(x[q], x[i], 2 * audio.WIDEST) for q, i in true - found)
+    assert {(-v - 50, v) for v in range(0, 500, 50)} <= found  # every excerpt finds its melody
 
     rng = np.random.default_rng(9)
     songs = {r.vec_id: np.array(r.embedding) for r in vectors.where("vec_id < 100 and vec_id % 50 != 0").collect()}
@@ -90,3 +91,26 @@ def test_silence_and_no_rows(spark):
     found = audio.align_recordings(audio.fingerprint_audio(quiet)).collect()
     assert sorted((r.rec_id, r.class_id) for r in found) == [(1, 1), (2, 2), (3, 3), (50, 1)]
     assert audio.align_recordings(audio.fingerprint_audio(quiet.limit(0))).count() == 0
+
+
+def test_clashing_columns_ties_and_long_recordings(spark):
+    """Further columns are left out; a melody that holds an excerpt twice is reported at the least offset; spectra of long recordings are made in runs."""
+    rng = np.random.default_rng(11)
+    part = played(rng, 60)
+    songs = {1: np.concatenate((part, part)), 50: part, 2: played(rng, 9000)}
+    songs[100] = songs[2][6000:6100]
+    rows = recordings(spark, list(songs.items())).selectExpr("*", "1 class_id", "'p' prints", "2 place", "3 votes", "'k' kind")
+    matches = {(r.query_class, r.class_id): r for r in audio.align_recordings(audio.fingerprint_audio(rows)).collect() if r.kind == "match"}
+    assert set(matches) == {(50, 1), (100, 2)}
+    assert matches[50, 1].offset == 0 and matches[100, 2].offset == 6000
+
+
+def test_a_common_print_makes_no_row_for_every_meeting(spark):
+    """A third of all recordings share one passage: meetings of prints without like surroundings don't leave the join."""
+    rng = np.random.default_rng(12)
+    shared = played(rng, 9)
+    songs = {i: played(rng, 60) for i in range(1, 300)}
+    for i in range(3, 300, 3):
+        songs[i][20:29] = shared
+    found = audio.align_recordings(audio.fingerprint_audio(recordings(spark, list(songs.items())))).collect()
+    assert not [r for r in found if r.kind == "match"]
