@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +18,9 @@ RATE, WINDOW, HOP = 4096, 1024, 512
 LOWEST, HIGHEST = 55.0, 1760.0
 #: Frames under the widest filter, and the share of wrong bits up to which recordings match.
 WIDEST, MOST_ERRORS = 8, 0.2
-#: Wrong bits of a print up to which it is looked up, and the bits of the filter of prints: 2^20 words at most.
-NEAR, FILTER_BITS = 2, 1 << 26
+#: Wrong bits of a print up to which it is looked up, the bits of it that may be the wrong ones (those nearest to their
+#: thresholds), and the bits of the filter of prints: 2^20 words at most.
+NEAR, WEAK, FILTER_BITS = 2, 10, 1 << 26
 #: Prints on each side of a print that must be near too, and the wrong bits that they may have on the average.
 CONTEXT, CONTEXT_BITS = 4, 7
 #: Frames that are compared together, frames whose spectra are held at once, bytes of recordings that are worked on together.
@@ -49,15 +49,15 @@ def chroma(pcm: np.ndarray, rate: int = RATE, window: int = WINDOW, hop: int = H
     return out / np.maximum(out.sum(axis=1, keepdims=True), 1e-12)
 
 
-def fingerprint(frames: np.ndarray) -> np.ndarray:
-    """A packed 32-bit integer for each frame under the filters: two Gray-coded bits a filter.
+def fingerprint(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A packed 32-bit integer for each frame under the filters, two Gray-coded bits a filter, and a mask of its ``WEAK`` weakest bits.
 
-    Filters compare sums of rectangles of the frames' integral image. Pitch classes
+    A bit is the weaker the nearer the filter's value lies to the level that would turn it. Filters compare sums of rectangles of the frames' integral image. Pitch classes
     go round: the image holds them twice. Fewer frames than the widest filter give none.
     """
     n = len(frames) - WIDEST + 1
     if n <= 0:
-        return np.zeros(0, np.uint32)
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
     image = np.zeros((len(frames) + 1, 25))
     image[1:, 1:] = np.cumsum(np.cumsum(np.hstack((frames, frames)), axis=0), axis=1)
 
@@ -65,7 +65,7 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
         at = np.arange(n)
         return image[at + t1, c1] - image[at + t0, c1] - image[at + t1, c0] + image[at + t0, c0]
 
-    out = np.zeros(n, np.uint32)
+    out, margins = np.zeros(n, np.uint32), []
     for kind, c, h, w in filter_bank():
         whole, half_c, half_w = area(0, w, c, c + h), c + (h + 1) // 2, w // 2
         if kind == 0:  # a rectangle against its mean
@@ -88,7 +88,9 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
         value = np.log1p(8 * np.maximum(a, 0)) - np.log1p(8 * np.maximum(b, 0))
         level = np.digitize(value, (-0.5, 0.0, 0.5))
         out = (out << np.uint32(2)) | np.array((0, 1, 3, 2), np.uint32)[level]
-    return out
+        margins += [np.abs(value), np.abs(np.abs(value) - 0.5)]
+    weakest = np.argsort(np.stack(margins, axis=1), axis=1, kind="stable")[:, :WEAK]
+    return out, np.bitwise_or.reduce(np.uint32(1) << (31 - weakest).astype(np.uint32), axis=1)
 
 
 def tones(values: np.ndarray, rate: int = RATE, samples: int = HOP) -> np.ndarray:
@@ -104,18 +106,19 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = []
             for pcm in recordings:
                 x = np.frombuffer(pcm, "<i2", count=len(pcm) // 2)
-                found.append(fingerprint(chroma(x)) if len(x) >= WINDOW else np.zeros(0, np.uint32))
-            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([f.astype("<u4").tobytes() for f in found], pa.binary())], names=["rec_id", "prints"])
+                found.append(fingerprint(chroma(x) if len(x) >= WINDOW else np.zeros((0, 12))))
+            arrays = [pa.array([f[i].astype("<u4").tobytes() for f in found], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([own.column(0), *arrays], names=["rec_id", "prints", "weak"])
 
 
 def fingerprint_audio(recordings: DataFrame) -> DataFrame:
-    """``rec_id`` and ``prints`` (packed unsigned 32-bit integers) of recordings (``rec_id``, ``pcm``).
+    """``rec_id``, ``prints`` and ``weak`` (packed unsigned 32-bit integers, see ``fingerprint``) of recordings (``rec_id``, ``pcm``).
 
     ``pcm`` is one channel of signed 16-bit little-endian samples at ``RATE``. Null,
     empty and very short recordings have no prints. Repeated rows each get a row;
     other columns are ignored.
     """
-    return recordings.selectExpr("cast(rec_id as long) rec_id", "pcm").mapInArrow(_prints, "rec_id long, prints binary")
+    return recordings.selectExpr("cast(rec_id as long) rec_id", "pcm").mapInArrow(_prints, "rec_id long, prints binary, weak binary")
 
 
 _SIDES = [d for d in range(-CONTEXT, CONTEXT + 1) if d]
@@ -129,14 +132,15 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.array([len(b) // 4 for b in blobs], np.int64)
             owner = np.repeat(np.arange(len(blobs)), counts)
             prints = np.frombuffer(b"".join(blobs), "<u4").astype(np.int64)
+            weak = np.frombuffer(b"".join(own.column(own.schema.get_field_index("weak")).to_pylist()), "<u4").astype(np.int64)
             places = ragged(np.zeros(len(counts), np.int64), counts)
             here, around = np.zeros(len(prints), np.int32), np.zeros((len(_AROUND), len(prints)), np.int64)
             for i, d in enumerate(_SIDES):
                 there = (places + d >= 0) & (places + d < counts[owner])
                 here |= there.astype(np.int32) << i
                 around[i // 2] |= np.where(there, np.roll(prints, -d), 0) << (32 * (i % 2))
-            arrays = [own.column(0).take(pa.array(owner)), pa.array(prints), pa.array(places.astype(np.int32)), pa.array(here), *map(pa.array, around)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["class_id", "print", "place", "here", *_AROUND])
+            arrays = [own.column(0).take(pa.array(owner)), pa.array(prints), pa.array(weak), pa.array(places.astype(np.int32)), pa.array(here), *map(pa.array, around)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["class_id", "print", "weak", "place", "here", *_AROUND])
 
 
 def _near_context() -> Column:
@@ -183,21 +187,25 @@ def _words(cells: DataFrame) -> DataFrame:
 
 
 def _probes(wanted: DataFrame, postings: DataFrame) -> DataFrame:
-    """Prints up to ``NEAR`` bits away from those wanted, less most that no posting has.
+    """Prints that differ from those wanted in up to ``NEAR`` of their weak bits, less most that no posting has.
 
     The filter of the postings' prints has a fixed size; a fuller one lets more
     probes through but never misses a print.
     """
-    bits = [sum(1 << k for k in flips) for n in range(NEAR + 1) for flips in combinations(range(32), n)]
     cell = F.pmod(F.xxhash64("print"), F.lit(FILTER_BITS))
     words = durable(_words(postings.select(cell.alias("cell"))))
-    probes = wanted.withColumn("flipped", F.explode(F.lit(bits).cast("array<long>"))).withColumn("print", F.col("print").bitwiseXOR(F.col("flipped")))
+    one = F.lit(1).cast("long")
+    singles = F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.call_function("shiftleft", one, b)), lambda b: F.col("weak").bitwiseAND(b) != 0)
+    probes = wanted.withColumn("singles", singles)
+    pairs = F.flatten(F.transform("singles", lambda a: F.transform(F.filter("singles", lambda b: b > a), lambda b: a.bitwiseOR(b))))
+    probes = probes.withColumn("flipped", F.explode(F.concat(F.array(F.lit(0).cast("long")), "singles", pairs))).drop("singles", "weak")
+    probes = probes.withColumn("print", F.col("print").bitwiseXOR(F.col("flipped")))
     bit = F.call_function("shiftright", F.col("bits"), F.pmod(cell, F.lit(64)).cast("int")).bitwiseAND(F.lit(1))
-    return probes.join(F.broadcast(words), F.floor(cell / 64) == F.col("word")).where(bit == 1).drop("word", "bits")
+    return probes.join(F.broadcast(words), (F.floor(cell / 64) == F.col("word")) & (bit == 1)).drop("word", "bits")
 
 
 def align_recordings(prints: DataFrame, *, every: int = 50, most_errors: float = MOST_ERRORS) -> DataFrame:
-    """Find the queries' recordings in all recordings (``rec_id``, ``prints``).
+    """Find the queries' recordings in all recordings (``rec_id``, ``prints``, ``weak``).
 
     Queries are the rows whose rec_id is divisible by ``every``. Rows with equal prints
     form a class, named by its least rec_id. Returns two kinds of rows. ``member``:
@@ -205,12 +213,10 @@ def align_recordings(prints: DataFrame, *, every: int = 50, most_errors: float =
     ``class_id`` at ``offset`` (frames of the class before the query's first), with
     ``votes``, ``overlap`` (frames) and ``wrong_bits``, of which the share is at most ``most_errors``.
 
-    Method. Prints of queries meet prints of all classes that differ in ``NEAR`` bits
-    at most and have prints around them (``CONTEXT`` on each side) that differ in ``CONTEXT_BITS``
+    Method. Prints of queries meet prints of all classes that differ in ``NEAR`` of their
+    ``WEAK`` weakest bits at most and have prints around them (``CONTEXT`` on each side) that differ in ``CONTEXT_BITS``
     bits on the average at most, which few meets by chance have; the histogram of their
-    offsets is summed before the shuffle. At every
-    offset with two votes, or one by a print with one wrong bit at most, the bit errors
-    are counted; of those within the bound the one with most votes is reported
+    offsets is summed before the shuffle. At every offset with a vote the bit errors are counted; of those within the bound the one with most votes is reported
     (ties: the longest overlap, then the least offset).
     An overlap of fewer than ``WIDEST`` frames needs an equal print, as few frames are
     near by chance. Equal recordings count once, so copies do not multiply. Every
@@ -222,22 +228,22 @@ def align_recordings(prints: DataFrame, *, every: int = 50, most_errors: float =
     class of its own id that matches nothing. Repeated rows each get a
     row. Empty tables give no rows. Other columns are ignored.
     """
-    rows = durable(prints.selectExpr("cast(rec_id as long) rec_id", "coalesce(prints, X'') prints"))
+    rows = durable(prints.selectExpr("cast(rec_id as long) rec_id", "coalesce(prints, X'') prints", "weak"))
     heard = rows.where("rec_id is not null and length(prints) > 0").withColumn("sha", F.unhex(F.sha2("prints", 256)))
-    classes = heard.groupBy("sha").agg(F.min("rec_id").alias("class_id"), F.bool_or(F.pmod("rec_id", F.lit(every)) == 0).alias("asked"), F.min("prints").alias("prints"))
+    classes = heard.groupBy("sha").agg(F.min("rec_id").alias("class_id"), F.bool_or(F.pmod("rec_id", F.lit(every)) == 0).alias("asked"), F.min("prints").alias("prints"), F.max("weak").alias("weak"))
     classes = durable(classes)
     own = classes.select("class_id", "prints")
     around = "here int, " + ", ".join(f"{c} long" for c in _AROUND)
-    postings = durable(own.mapInArrow(_postings, f"class_id long, print long, place int, {around}"))
+    postings = durable(classes.select("class_id", "prints", "weak").mapInArrow(_postings, f"class_id long, print long, weak long, place int, {around}"))
     asked = durable(classes.where("asked").select(F.col("class_id").alias("query_class"), F.col("prints").alias("query_prints")))
     wanted = postings.join(asked.select(F.col("query_class").alias("class_id")), "class_id", "left_semi")
-    wanted = durable(wanted.select(F.col("class_id").alias("query_class"), "print", F.col("place").alias("query_place"), *[F.col(c).alias(f"q_{c}") for c in ("here", *_AROUND)]))
+    wanted = durable(wanted.select(F.col("class_id").alias("query_class"), "print", F.col("place").alias("query_place"), "weak", *[F.col(c).alias(f"q_{c}") for c in ("here", *_AROUND)]))
     near = _probes(wanted, postings).withColumnRenamed("print", "probe")
-    votes = postings.join(near, (F.col("print") == F.col("probe")) & (F.col("class_id") != F.col("query_class")) & _near_context())
+    votes = postings.drop("weak").join(near, (F.col("print") == F.col("probe")) & (F.col("class_id") != F.col("query_class")) & _near_context())
     votes = votes.groupBy("query_class", "class_id", (F.col("place") - F.col("query_place")).alias("offset")).agg(
         F.count(F.lit(1)).alias("votes"), F.min(F.bit_count("flipped")).alias("bits")
     )
-    votes = votes.where("votes > 1 or bits < 2").withColumn("equal", F.col("bits") == 0)
+    votes = votes.withColumn("equal", F.col("bits") == 0)
     tried = durable(votes.groupBy("query_class", "class_id").agg(F.collect_list(F.struct("offset", "votes", "equal")).alias("tries")))
     pairs = tried.join(own, "class_id").join(asked, "query_class").select("query_class", "class_id", "tries", "query_prints", "prints")
     found = pairs.mapInArrow(partial(_errors, most_errors=most_errors), "query_class long, class_id long, offset int, votes long, overlap int, wrong_bits long")
