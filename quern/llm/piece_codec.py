@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import cached_property, lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,18 @@ from .common import ragged, segment_sums, slices, starts_of, table
 
 _SPACE, _SPACE_CHAR = "▁", 0x2581
 _FAR = np.iinfo(np.int32).max
+#: A round is slow if it merges less than this share of the symbols of the long words; so many slow rounds end the rounds for them.
+_SLOW_SHARE, _SLOW_ROUNDS = 1 / 512, 64
+
+
+def _window_min(x: np.ndarray, before: int, after: int) -> np.ndarray:
+    """Least value from ``before`` elements before an element to ``after`` elements after it (``after`` -1: the one before it)."""
+    now = np.concatenate((np.full(before, _FAR, x.dtype), x, np.full(max(after, 0), _FAR, x.dtype)))
+    length, width = before + after + 1, 1
+    while 2 * width <= length:
+        now = np.minimum(now[:-width], now[width:])
+        width *= 2
+    return np.minimum(now[: len(x)], now[length - width :][: len(x)])
 
 
 class PieceModel:
@@ -68,6 +81,8 @@ class PieceModel:
         shared = np.bincount(rank[list(normal.values())], minlength=len(rank)) > 1
         careful[: self.n_ids] |= shared[rank]
         self.careful = careful
+        # No piece reaches further than this many characters; what lies twice as far off has no say in a merge.
+        self.reach = 2 * max(len(p) for p in normal) + 2
         self.keys = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
         self.ranks = rank[self.merged]
@@ -97,6 +112,31 @@ class PieceModel:
         found = self.keys[at] == key
         return np.where(found, self.ranks[at], _FAR).astype(np.int32), self.merged[at]
 
+    @cached_property
+    def _by_pair(self) -> dict[int, tuple[int, int]]:
+        return dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
+
+    def _merge_queued(self, sym: list[int]) -> tuple[list[int], list[int]]:
+        """All merges of one word in the order of rank and place, from a queue: the symbols left, and their places in ``sym``."""
+        pair, n = self._by_pair, self.n_symbols
+        after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
+        queue = [(found[0], i, found[1], sym[i], sym[i + 1]) for i in range(len(sym) - 1) if (found := pair.get(sym[i] * n + sym[i + 1]))]
+        heapq.heapify(queue)
+        while queue:
+            _, i, merged, a, b = heapq.heappop(queue)
+            j = after[i]
+            if sym[i] != a or j >= len(sym) or sym[j] != b:
+                continue
+            sym[i], sym[j] = merged, -1
+            after[i] = k = after[j]
+            if k < len(sym):
+                before[k] = i
+            for x, y in ((before[i], i), (i, k)):
+                if x >= 0 and y < len(sym) and (found := pair.get(sym[x] * n + sym[y])):
+                    heapq.heappush(queue, (found[0], x, found[1], sym[x], sym[y]))
+        kept = [i for i, x in enumerate(sym) if x >= 0]
+        return [sym[i] for i in kept], kept
+
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, one after the other, and the number of ids of each.
 
@@ -104,6 +144,12 @@ class PieceModel:
         All words' symbols lie in one flat array. Each round finds every word's
         minimum pair rank, merges its leftmost occurrences in all words at once,
         compacts the array and puts words without a pair aside.
+
+        In long words (unspaced text) a pair is also merged when it is the minimum among
+        the symbols within ``reach``: no piece is longer than half of that, so no merge that
+        comes earlier can touch the pair's symbols, nor what the merge then leads to. So the rounds
+        do not grow with the word's length. Where such a word still takes one merge after the
+        other (the same few letters repeated), a queue ends it.
         """
         text = b" " + b"\x00 ".join(words)
         chars = np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)
@@ -119,6 +165,7 @@ class PieceModel:
         merged = np.zeros(len(sym), np.int32)
         inner = np.flatnonzero(word[1:] == word[:-1])
         rank[inner], merged[inner] = self._pair(sym[inner], sym[inner + 1])
+        slow = 0
         while len(sym):
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             lowest = np.minimum.reduceat(rank, first)
@@ -136,13 +183,35 @@ class PieceModel:
                     break
                 first = starts_of(sizes)
             hit = rank == np.repeat(lowest, sizes)
+            long = np.flatnonzero(np.repeat(sizes > 4 * self.reach, sizes))
+            if len(long) and slow < _SLOW_ROUNDS:
+                near = rank[long]
+                hit[long] |= (near == _window_min(near, self.reach, self.reach)) & (near != _FAR)
+            elif len(long):
+                for w in np.flatnonzero(sizes > 4 * self.reach).tolist():
+                    own = slice(first[w], first[w] + sizes[w])
+                    left, kept = self._merge_queued(sym[own].tolist())
+                    done_sym.append(np.array(left, sym.dtype))
+                    done_at.append(at[own][kept])
+                    done_word.append(word[own][kept])
+                live, slow = np.repeat(sizes <= 4 * self.reach, sizes), 0
+                sym, at, word, rank, merged = sym[live], at[live], word[live], rank[live], merged[live]
+                continue
             where = np.flatnonzero(hit)
-            # Of hits that overlap, every other one from the left; where order matters, a word's first one only.
+            # Of hits that overlap, every other one from the left, if the first one is the first of its rank there.
+            # Where order matters, a word's first one only; in long words the first one within reach.
             run = np.concatenate(([True], np.diff(where) != 1))
-            in_run = np.arange(len(where)) - np.maximum.accumulate(np.where(run, np.arange(len(where)), 0))
+            start = np.maximum.accumulate(np.where(run, np.arange(len(where)), 0))
+            begin = where[start]
+            whole = (begin == 0) | (rank[begin - 1] != rank[begin])
             owner = word[where]
             leads = np.concatenate(([True], owner[1:] != owner[:-1]))
-            where = where[np.where(self.careful[merged[where]], leads, in_run % 2 == 0)]
+            if len(long):
+                alone = np.zeros(len(sym), bool)
+                alone[long] = _window_min(near, self.reach, -1) > near
+                leads |= alone[where]
+            where = where[np.where(self.careful[merged[where]], leads, whole & ((np.arange(len(where)) - start) % 2 == 0))]
+            slow += len(long) > 0 and len(where) < _SLOW_SHARE * len(long)
             sym[where] = merged[where]
             keep = np.ones(len(sym), bool)
             keep[where + 1] = False

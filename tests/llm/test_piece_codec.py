@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import hashlib
 import random
+import string
+import time
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 
 from quern.llm import piece_codec
@@ -52,3 +55,25 @@ def test_digests_and_round_trip_in_spark(spark):
 
 def test_empty_table(spark):
     assert piece_codec.round_trip(cases.empty(spark), PATH).count() == 0
+
+
+@pytest.mark.parametrize("letters", ["the", "her", "ab", "=-", "aeinrst", "0123456789", "abcdefghijklmnopqrstuvwxyz", "A.", "aAbB1_", "漢字かな"])
+def test_long_unspaced_words_equal_the_library(letters):
+    rng = random.Random(letters)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(100, 2500))) for _ in range(25)]
+    texts += [(t[: rng.randint(1, 7)] * 2500)[: rng.randint(200, 2500)] for t in texts[:12]]
+    ids, counts = piece_codec.piece_model(PATH).encode([t.encode() for t in texts])
+    expected = LIBRARY.encode(texts)
+    assert counts.tolist() == [len(x) for x in expected] and ids.tolist() == [i for x in expected for i in x]
+
+
+@pytest.mark.parametrize("kind", ["random", "base64", "a", "he", "the", "="])
+def test_a_megabyte_without_spaces_takes_seconds(kind):
+    rng = random.Random(1)
+    drawn = {"random": string.ascii_lowercase, "base64": string.ascii_letters + string.digits + "+/"}
+    text = "".join(rng.choices(drawn[kind], k=1 << 20)) if kind in drawn else (kind * (1 << 20))[: 1 << 20]
+    model = piece_codec.piece_model(PATH)
+    began = time.perf_counter()
+    ids, _ = model.encode([text.encode()])
+    assert time.perf_counter() - began < 30
+    assert ids.tolist() == LIBRARY.encode(text)
