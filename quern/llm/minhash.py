@@ -147,21 +147,28 @@ def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
     released()
 
 
-def confirmed_forest(sets: list[np.ndarray], num: int, den: int, family: tuple[np.ndarray, np.ndarray], agree: float) -> list[tuple[int, int]]:
+def confirmed_forest(sets: list[np.ndarray], num: int, den: int, family: tuple[np.ndarray, np.ndarray], agree: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges (member, first member of its group) of the groups that confirmed links make of these sets.
 
     A pair links if den * |A and B| >= num * |A or B| on the full sets. Signatures
-    are compared first; sets without a promising partner leave.
+    are compared first; sets without a promising partner leave. With ``side`` (a
+    boolean a set) only pairs across are compared.
     """
     n = len(sets)
+    a, b = (np.arange(n), np.arange(n)) if side is None else (np.flatnonzero(~side), np.flatnonzero(side))
     counts = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
     sig = signatures(flat, counts, family)
-    near = np.zeros((n, n), np.int16)
+    near = np.zeros((len(a), len(b)), np.int16)
     for k in range(sig.shape[1]):
-        near += sig[:, None, k] == sig[None, :, k]
-    np.fill_diagonal(near, 0)
-    live = np.flatnonzero((near >= agree * sig.shape[1]).any(axis=1))
+        near += sig[a, None, k] == sig[None, b, k]
+    promising = near >= agree * sig.shape[1]
+    if side is None:
+        np.fill_diagonal(promising, False)
+    del near
+    live_a, live_b = promising.any(axis=1), promising.any(axis=0)
+    a, b, promising = a[live_a], b[live_b], promising[np.ix_(live_a, live_b)]
+    live = np.union1d(a, b)
     if len(live) < 2:
         return []
     at = ragged(starts_of(counts)[live], counts[live])
@@ -173,16 +180,18 @@ def confirmed_forest(sets: list[np.ndarray], num: int, den: int, family: tuple[n
     code, owner = dense[code[keep]], owner[keep]
     order = np.argsort(code, kind="stable")
     code, owner = code[order], owner[order]
-    common = np.zeros((len(live), len(live)), np.float32)
+    in_a, in_b = np.searchsorted(live, a), np.searchsorted(live, b)
+    common = np.zeros((len(a), len(b)), np.float32)
     step = 4096
     for low in range(0, int(shared.sum()), step):
         i, j = np.searchsorted(code, (low, low + step))
         m = np.zeros((len(live), step), np.float32)
         m[owner[i:j], code[i:j] - low] = 1
-        common += m @ m.T
+        common += m[in_a] @ m[in_b].T
     common = common.astype(np.int64)
-    size = counts[live]
-    linked = (near[np.ix_(live, live)] >= agree * sig.shape[1]) & (den * common >= num * (size[:, None] + size[None, :] - common))
+    linked = np.zeros((len(live), len(live)), bool)
+    linked[np.ix_(in_a, in_b)] = promising & (den * common >= num * (counts[a][:, None] + counts[b][None, :] - common))
+    linked |= linked.T
     out, todo = [], np.ones(len(live), bool)
     for i in range(len(live)):
         if not todo[i]:
@@ -196,11 +205,13 @@ def confirmed_forest(sets: list[np.ndarray], num: int, den: int, family: tuple[n
     return out
 
 
-def _confirm(_, rows: pd.DataFrame, num: int, den: int, k: int, seed: int, agree: float) -> pd.DataFrame:
+def _confirm(key: tuple, rows: pd.DataFrame, num: int, den: int, k: int, seed: int, agree: float) -> pd.DataFrame:
     rows = rows.drop_duplicates("node")
     nodes = rows["node"].tolist()
     sets = [np.frombuffer(x, np.uint64) for x in rows["members"]]
-    found = confirmed_forest(sets, num, den, hash_family(k, seed), agree) if len(sets) > 1 else []
+    # Pairs of one part are compared where that part meets itself.
+    side = None if key[1] == key[2] else (rows["part"] == key[2]).to_numpy()
+    found = confirmed_forest(sets, num, den, hash_family(k, seed), agree, side) if len(sets) > 1 else []
     return pd.DataFrame({"a": pd.Series([nodes[i] for i, _ in found], dtype=object), "b": pd.Series([nodes[j] for _, j in found], dtype=object)})
 
 
@@ -264,13 +275,13 @@ def near_duplicates(
     collected(docs.sparkSession)  # the texts' shuffle
     chunks = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("total"))
     chunks = durable(chunks.select("cluster", F.greatest(F.ceil(F.col("nodes") / CHUNK_NODES), F.ceil(F.col("total") / CHUNK_SHINGLES)).cast("int").alias("parts")))
-    # A cluster of p parts is dealt to p (p + 1) / 2 tasks; each holds the nodes of two parts.
+    # A cluster of p parts is dealt to p (p + 1) / 2 tasks; each compares a part with itself or two parts with each other.
     # The few clusters of several parts are matched by salted keys, as one may hold a large share of the sets.
     salted = chunks.where("parts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = sets.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["cluster", "salt"], "left")
     dealt = dealt.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "members")
+    dealt = dealt.select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "members")
     confirm = partial(_confirm, num=num, den=den, k=rows * bands, seed=seed, agree=agree)
     links = dealt.groupBy("cluster", "i", "j").applyInPandas(lambda key, pdf: confirm(key, pdf), "a binary, b binary")
     groups = durable(connected_components(links, "a", "b").join(first, "node"))
