@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import exact_dedup, language, minhash, packing
 from quern.llm.common import table
+from quern.sources import durable
 
 #: Share of its main language below which a document is rejected as having none.
 LEAST_SHARE = 0.3
@@ -64,7 +65,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage keeps is cut to disk, so that no stage runs again for each reading of the next one."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for n, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, durable(docs) if n else docs, sf_dir)
     return docs
