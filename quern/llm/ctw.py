@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import clamp_partitions, collected, durable, ragged, segment_sums, slices, starts_of, table, word_codes
+from .common import clamp_partitions, durable, ragged, released, segment_sums, slices, starts_of, table, word_codes
 from .language import held_out
 
 #: Bytes of context, and the last bytes that the contexts of one task share. A
 #: shared end then has 2^16 contexts and 2^24 continuations at most.
 DEPTH, SHARED = 5, 3
-#: Text of a block, and of a part of the distinct words and grams, in bytes of all texts.
-BLOCK_BYTES, PART_BYTES = 12 << 20, 24 << 20
+#: Bytes of the texts of a block; of all texts for each part of the words and grams; most parts to which a block deals.
+BLOCK_BYTES, PART_BYTES, MOST_PARTS = 12 << 20, 24 << 20, 256
+#: Blocks that are added up before they are brought together with others; words or grams of all their sums for each part of these.
+GROUP_BLOCKS, PART_ITEMS = 256, 1 << 22
+#: Most groups of contexts.
+MOST_CONTEXTS = 4096
 #: Marks the beginning and the end of a text; no UTF-8 text has this byte.
 EDGE = b"\xff"
 #: Name of the end token among words; no word has this byte.
 END = b"\t"
 
-#: Kinds of rows between the steps: words, grams, the end token, sums over all words.
-WORDS, GRAMS, ENDS, SUMS = 0, 1, 2, 3
+#: Kinds of rows between the steps: words (with the end token), grams, sums over all words.
+WORDS, GRAMS, SUMS = 0, 1, 2
 
-_PACK = "block int, part int, kind int, items binary, n binary, distinct long, total long"
+_PACK = "block long, part int, kind int, items binary, n binary, distinct long, total long"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double, code_length double"
 
 
@@ -98,38 +104,81 @@ def _runs(texts: list[bytes], limit: int = 4 << 20):
         yield start, len(texts)
 
 
-def _block_texts(docs: pa.Table) -> tuple[list[bytes], np.ndarray]:
-    texts = [t for batch in docs.combine_chunks().to_batches() for _, part in slices(batch, limit=1 << 40) for t in part]
-    return [t.lower() for t in texts], np.asarray(docs.column("held_out").to_pylist(), dtype=bool)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows as blocks of about ``BLOCK_BYTES`` of lower-cased text, each compressed into one row."""
+    first, n, held, size = TaskContext.get().partitionId() << 24, 0, [], 0
 
+    def packed() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        docs = pa.concat_tables(held).combine_chunks()
+        with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))) as out:
+            out.write_table(docs)
+        return pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()])], names=["block", "size", "docs"])
 
-def _block_words(texts: list[bytes], parts: int) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """Codes of the words of a block, its distinct words in a fixed order, their parts, and words a text.
+    for batch in batches:
+        for own, texts in slices(batch, limit=BLOCK_BYTES):
+            ids, out = (own.column(own.schema.get_field_index(c)) for c in ("doc_id", "held_out"))
+            held.append(pa.table({"doc_id": ids, "held_out": out, "text": pa.array([t.lower() for t in texts], pa.large_binary())}))
+            size += sum(map(len, texts))
+            if size >= BLOCK_BYTES:
+                yield packed()
+                n, held, size = n + 1, [], 0
+    if held:
+        yield packed()
+    released()
 
-    The order depends on the words alone: by part, hash, and the word itself.
-    """
+
+def _block_docs(blob: bytes) -> tuple[pa.Array, np.ndarray, list[bytes]]:
+    """Ids, held-out flags and texts of a block."""
+    docs = pa.ipc.open_stream(blob).read_all()
+    return docs.column("doc_id"), np.asarray(docs.column("held_out").to_pylist(), dtype=bool), docs.column("text").to_pylist()
+
+
+def _hashes(kind: int, items: np.ndarray) -> np.ndarray:
+    if kind == WORDS:
+        return pd.util.hash_array(items, categorize=False) if len(items) else np.zeros(0, np.uint64)
+    h = items.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
+def _part(kind: int, h: np.ndarray, parts: int) -> np.ndarray:
+    return ((h >> np.uint64(32) if kind == WORDS else h) % np.uint64(parts)).astype(np.int64)
+
+
+def _split(h: np.ndarray, per: int) -> np.ndarray:
+    """The place of an item among the ``per`` parts into which a part is split."""
+    return ((h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) % np.uint64(per)).astype(np.int64)
+
+
+def _arranged(kind: int, items: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of distinct items (grams: ascending ones) that depends on them alone, by part first; and the parts in this order."""
+    h = _hashes(kind, items)
+    part = _part(kind, h, parts)
+    if kind == GRAMS:
+        order = np.argsort(part, kind="stable")
+    elif len(_distinct(h)) < len(h):
+        order = np.array(sorted(range(len(h)), key=lambda i: (part[i], h[i], items[i])))
+    else:
+        order = np.lexsort((h, part))
+    return order, part[order]
+
+
+def _block_words(texts: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the words of a block, its distinct words and the end token as arranged, their parts, and words a text."""
     codes, distinct, counts = word_codes(texts, lower=False)
-    h = pd.util.hash_array(distinct, categorize=False) if len(distinct) else np.zeros(0, np.uint64)
-    part = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((h, part))
-    if len(_distinct(h)) < len(h):
-        order = np.array(sorted(range(len(h)), key=lambda i: (part[i], h[i], distinct[i])))
+    items = np.empty(len(distinct) + 1, object)
+    items[:-1], items[-1] = distinct, END
+    order, part = _arranged(WORDS, items, parts)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return place[codes] if len(codes) else codes, distinct[order].tolist(), part[order], counts
-
-
-def _gram_part(grams: np.ndarray, parts: int) -> np.ndarray:
-    h = grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(32))) % np.uint64(parts)).astype(np.int64)
+    return place[codes] if len(codes) else codes, items[order], part, counts
 
 
 def _block_grams(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams of a block in a fixed order, by part and value, and their parts."""
+    """Distinct grams of a block as arranged, and their parts."""
     grams = _distinct(np.concatenate([values for _, values, _ in runs]))
-    part = _gram_part(grams, parts)
-    order = np.argsort(part, kind="stable")
-    return grams[order], part[order]
+    order, part = _arranged(GRAMS, grams, parts)
+    return grams[order], part
 
 
 def _pressed(x: bytes | np.ndarray | None, rising: bool = False) -> bytes | None:
@@ -157,41 +206,100 @@ def _column(rows: pa.Table, name: str, dtype, rising: bool = False) -> tuple[np.
 
 def _packs(rows: list[tuple]) -> pa.Table:
     """Rows of ``_PACK``, compressed; the last two columns are for ``SUMS`` alone. Grams are ascending."""
-    kinds = {"block": pa.int32(), "part": pa.int32(), "kind": pa.int32(), "items": pa.binary(), "n": pa.binary(), "distinct": pa.int64(), "total": pa.int64()}
+    kinds = {"block": pa.int64(), "part": pa.int32(), "kind": pa.int32(), "items": pa.binary(), "n": pa.binary(), "distinct": pa.int64(), "total": pa.int64()}
     rows = [(block, part, kind, _pressed(items, kind == GRAMS), _pressed(n), *(more or (None, None))) for block, part, kind, items, n, *more in rows]
     columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
     return pa.table({k: pa.array(v, t) for (k, t), v in zip(kinds.items(), columns, strict=True)})
 
 
-def _statistics(key: tuple, docs: pa.Table, depth: int, parts: int) -> pa.Table:
-    """Training counts of a block's words and grams, by part; those of held-out texts alone have 0."""
-    block = key[0].as_py()
-    texts, out = _block_texts(docs)
-    codes, words, part, counts = _block_words(texts, parts)
-    n = np.bincount(codes[np.repeat(~out, counts)], minlength=len(words)) if len(codes) else np.zeros(0, np.int64)
-    rows = [(block, 0, ENDS, END, np.array([(~out).sum()], np.int64))]
-    cuts = np.searchsorted(part, np.arange(parts + 1))
-    for p in range(parts):
-        i, j = int(cuts[p]), int(cuts[p + 1])
-        if j > i:
-            rows.append((block, p, WORDS, b"\n".join(words[i:j]), n[i:j].astype(np.int64)))
-    del codes, words
-    runs, totals = [], []
-    for i, j in _runs(texts):
-        now, values, lengths = byte_grams(texts[i:j], depth)
-        totals.append(np.bincount(now[np.repeat(~out[i:j], lengths)], minlength=len(values)))
-        runs.append((None, values, lengths))
-    grams, part = _block_grams(runs, parts)
-    order = np.argsort(grams)
-    n = np.zeros(len(grams), np.int64)
-    for (_, values, _), total in zip(runs, totals, strict=True):
-        n[order[np.searchsorted(grams, values, sorter=order)]] += total
-    cuts = np.searchsorted(part, np.arange(parts + 1))
-    for p in range(parts):
-        i, j = int(cuts[p]), int(cuts[p + 1])
-        if j > i:
-            rows.append((block, p, GRAMS, grams[i:j], n[i:j].astype(np.int32)))
-    return _packs(rows)
+def _dealt(block: int, kind: int, items: np.ndarray, part: np.ndarray, n: np.ndarray) -> list[tuple]:
+    """A row for each part that occurs; ``part`` is ascending."""
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))).tolist() if len(part) else []
+    return [(block, int(part[i]), kind, b"\n".join(items[i:j]) if kind == WORDS else items[i:j], n[i:j]) for i, j in zip(first, [*first[1:], len(part)], strict=True)]
+
+
+def _statistics(batches: Iterator[pa.RecordBatch], depth: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Training counts of each block's words and grams, by part; those of held-out texts alone have 0."""
+    for batch in batches:
+        for block, blob in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            _, out, texts = _block_docs(blob.as_py())
+            codes, words, part, counts = _block_words(texts, parts)
+            n = np.bincount(codes[np.repeat(~out, counts)], minlength=len(words)).astype(np.int64)
+            n[words == END] = (~out).sum()
+            rows = _dealt(block, WORDS, words, part, n)
+            del codes, words
+            runs, totals = [], []
+            for i, j in _runs(texts):
+                now, values, lengths = byte_grams(texts[i:j], depth)
+                totals.append(np.bincount(now[np.repeat(~out[i:j], lengths)], minlength=len(values)))
+                runs.append((None, values, lengths))
+            grams, part = _block_grams(runs, parts)
+            order = np.argsort(grams)
+            n = np.zeros(len(grams), np.int64)
+            for (_, values, _), total in zip(runs, totals, strict=True):
+                n[order[np.searchsorted(grams, values, sorter=order)]] += total
+            yield from _packs(rows + _dealt(block, GRAMS, grams, part, n)).combine_chunks().to_batches()
+    released()
+
+
+def _items(rows: pa.Table, kind: int) -> tuple[np.ndarray, list[int]]:
+    """All items of packed rows one after the other, and how many each row has."""
+    if kind == GRAMS:
+        return _column(rows, "items", np.int64, True)
+    blobs = [_raw(b).split(b"\n") for b in rows.column("items").to_pylist()]
+    flat = np.empty(sum(map(len, blobs)), object)
+    flat[:] = [w for b in blobs for w in b]
+    return flat, [len(b) for b in blobs]
+
+
+def _united(flat: np.ndarray, kind: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct items as arranged, their parts, and the place of each of ``flat`` among them."""
+    if kind == GRAMS:
+        distinct, at = np.unique(flat, return_inverse=True)
+    else:
+        at, distinct = pd.factorize(flat)
+    order, part = _arranged(kind, distinct, parts)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], part, place[at]
+
+
+def _added_up(key: tuple, rows: pa.Table, parts: int) -> pa.Table:
+    """One part of the counts of a group of blocks, as of one block that has the group's number; ``distinct`` tells how many items."""
+    group, kind = key[0].as_py(), key[2].as_py()
+    flat, _ = _items(rows, kind)
+    items, part, at = _united(flat, kind, parts)
+    n = np.bincount(at, weights=_column(rows, "n", np.int64)[0], minlength=len(items)).astype(np.int64)
+    return _packs([(*row, len(row[4]), None) for row in _dealt(group, kind, items, part, n)])
+
+
+def _parted(batches: Iterator[pa.RecordBatch], per: int) -> Iterator[pa.RecordBatch]:
+    """Each row as up to ``per`` rows of a part each."""
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        for i in range(len(rows)):
+            row = rows.slice(i, 1)
+            block, part, kind = (row.column(c)[0].as_py() for c in ("block", "part", "kind"))
+            items, n = _items(row, kind)[0], _column(row, "n", np.int64)[0]
+            place = _split(_hashes(kind, items), per)
+            order = np.argsort(place, kind="stable")
+            yield from _packs(_dealt(block, kind, items[order], part * per + place[order], n[order])).combine_chunks().to_batches()
+
+
+def _handed_down(key: tuple, asked: pa.Table, found: pa.Table, parts: int, per: int) -> pa.Table:
+    """What a group has been told about one part, for each of its blocks."""
+    if not len(asked):
+        return _packs([])
+    kind = key[2].as_py()
+    flat, sizes = _items(asked, kind)
+    items, _, at = _united(flat, kind, parts)
+    place = _split(_hashes(kind, items), per)
+    told = np.zeros(len(items), np.int64 if kind == WORDS else np.float64)
+    for part, n in zip(found.column("part").to_pylist(), found.column("n").to_pylist(), strict=True):
+        told[place == part % per] = _numbers(n, told.dtype)
+    ends = np.cumsum(sizes).tolist()
+    part = key[1].as_py()
+    return _packs([(block, part, kind, None, told[at[e - m : e]]) for block, m, e in zip(asked.column("block").to_pylist(), sizes, ends, strict=True)])
 
 
 def _total_words(key: tuple, rows: pa.Table) -> pa.Table:
@@ -199,30 +307,23 @@ def _total_words(key: tuple, rows: pa.Table) -> pa.Table:
 
     The row without a block has the part's distinct training words and their sum.
     """
-    blobs = [_raw(b).split(b"\n") for b in rows.column("items").to_pylist()]
-    sizes = np.array([len(b) for b in blobs], np.int64)
-    flat = np.empty(int(sizes.sum()), object)
-    flat[:] = [w for b in blobs for w in b]
+    flat, sizes = _items(rows, WORDS)
     codes, distinct = pd.factorize(flat)
     own, _ = _column(rows, "n", np.int64)
     total = np.bincount(codes, weights=own, minlength=len(distinct)).astype(np.int64)
-    known, ends = total[codes], np.cumsum(sizes)
-    out = [
-        (block, part, kind, None, known[e - n : e])
-        for block, part, kind, n, e in zip(*(rows.column(c).to_pylist() for c in ("block", "part", "kind")), sizes.tolist(), ends.tolist(), strict=True)
-    ]
-    return _packs([*out, (None, key[0].as_py(), SUMS, None, None, int((total > 0).sum()), int(total.sum()))])
+    known, ends, part = total[codes], np.cumsum(sizes).tolist(), key[0].as_py()
+    out = [(block, part, WORDS, None, known[e - n : e]) for block, n, e in zip(rows.column("block").to_pylist(), sizes, ends, strict=True)]
+    return _packs([*out, (None, part, SUMS, None, None, int((total > 0).sum()), int(total.sum()))])
 
 
 def _total_grams(key: tuple, rows: pa.Table, groups: int) -> pa.Table:
     """Distinct grams of a part with their training counts over all blocks, by group of contexts (``block``)."""
     grams, at = np.unique(_column(rows, "items", np.int64, True)[0], return_inverse=True)
-    n = np.bincount(at, weights=_column(rows, "n", np.int32)[0], minlength=len(grams)).astype(np.int64)
-    group = _gram_part((grams >> 8) & ((1 << (8 * SHARED)) - 1), groups)
+    n = np.bincount(at, weights=_column(rows, "n", np.int64)[0], minlength=len(grams)).astype(np.int64)
+    group = _part(GRAMS, _hashes(GRAMS, (grams >> 8) & ((1 << (8 * SHARED)) - 1)), groups)
     order = np.argsort(group, kind="stable")
-    grams, n, cuts = grams[order], n[order], np.searchsorted(group[order], np.arange(groups + 1)).tolist()
     part = key[0].as_py()
-    return _packs([(g, part, GRAMS, grams[i:j], n[i:j]) for g, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i])
+    return _packs([(g, part, kind, items, n) for g, _, kind, items, n in ((r[1], *r[1:]) for r in _dealt(0, GRAMS, grams[order], group[order], n[order]))])
 
 
 class _Subtrees:
@@ -316,7 +417,7 @@ def _summary(_: tuple, rows: pa.Table, depth: int) -> pa.Table:
 
 def _gram_scores(key: tuple, rows: pa.Table, depth: int, upper) -> pa.Table:
     grams, n, sizes = _group(rows)
-    out = np.empty(len(grams), np.float32)
+    out = np.empty(len(grams))
     for i in _pieces(grams):
         out[i] = _Subtrees(grams[i], n[i].astype(np.float64), depth).log_p(upper.value)
     group, ends = key[0].as_py(), np.cumsum(sizes).tolist()
@@ -325,7 +426,7 @@ def _gram_scores(key: tuple, rows: pa.Table, depth: int, upper) -> pa.Table:
 
 def _returned(key: tuple, asked: pa.Table, scored: pa.Table) -> pa.Table:
     """Scores of a part's grams in the order of each block that asked for them."""
-    grams, log_p = _column(scored, "items", np.int64, True)[0], _column(scored, "n", np.float32)[0]
+    grams, log_p = _column(scored, "items", np.int64, True)[0], _column(scored, "n", np.float64)[0]
     order = np.argsort(grams)
     grams, log_p = grams[order], log_p[order]
     part = key[0].as_py()
@@ -356,26 +457,25 @@ def _upper_levels(summary: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.n
 
 
 def _scores(_: tuple, docs: pa.Table, found: pa.Table, depth: int, parts: int) -> pa.Table:
-    texts, out = _block_texts(docs)
+    ids, out, texts = _block_docs(docs.column("docs")[0].as_py())
     codes, words, part, counts = _block_words(texts, parts)
     runs = [byte_grams(texts[i:j], depth) for i, j in _runs(texts)]
     grams, gram_part = _block_grams(runs, parts)
-    known, log_p, ends = np.zeros(len(words), np.int64), np.zeros(len(grams)), 0
+    known, log_p = np.zeros(len(words), np.int64), np.zeros(len(grams))
     cuts, gram_cuts = (np.searchsorted(x, np.arange(parts + 1)) for x in (part, gram_part))
     for p, kind, n in zip(*(found.column(c).to_pylist() for c in ("part", "kind", "n")), strict=True):
         if kind == WORDS:
             known[cuts[p] : cuts[p + 1]] = _numbers(n, np.int64)
-        elif kind == GRAMS:
-            log_p[gram_cuts[p] : gram_cuts[p + 1]] = _numbers(n, np.float32)
         else:
-            ends = int(_numbers(n, np.int64)[0])
+            log_p[gram_cuts[p] : gram_cuts[p + 1]] = _numbers(n, np.float64)
+    ends = int(known[words == END][0])
     order = np.argsort(grams)
     grams, log_p = grams[order], log_p[order]
     score = np.concatenate([segment_sums(log_p[np.searchsorted(grams, values)][now], lengths) for now, values, lengths in runs])
     c = known[codes] if len(codes) else codes
     return pa.table(
         {
-            "doc_id": docs.column("doc_id"),
+            "doc_id": ids,
             "held_out": pa.array(out),
             "n_tokens": counts + 1,
             "n_known": segment_sums((c > 0).astype(np.float64), counts).astype(np.int64) + int(ends > 0),
@@ -400,12 +500,15 @@ def score_texts(docs: DataFrame, *, depth: int = DEPTH) -> DataFrame:
     weighted by the tree's recursion over all depths. ``base_score`` sums
     log10((c + 1) / (N + V + 1)) over words and one end.
 
-    Method. Documents are dealt to blocks of bounded size by hash. One pass counts
-    each block's words and byte grams, packed by hashed part; the number of parts
-    grows with the input, so a part's size does not. A part's counts are summed
-    over all blocks, each distinct gram then goes to the task that weights the
+    Method. Each task compresses its texts into blocks of bounded size, in the order in
+    which it reads them; no text is shuffled before the end, and rows that are alike
+    meet nowhere. One pass counts each block's words and byte grams, packed by hashed
+    part: up to ``MOST_PARTS`` rows a block, whatever the input. Beyond ``GROUP_BLOCKS`` blocks, the
+    blocks of a group are added up by part first, and these sums are split into as many parts as
+    their words and grams need. A part's counts are summed
+    over all blocks (or groups), each distinct gram then goes to the task that weights the
     contexts with its last three bytes, and what each block asked for comes back
-    to it: its own grams' probabilities and its own words' counts. Nodes of
+    to it the same way: its own grams' probabilities and its own words' counts. Nodes of
     contexts under three bytes (at most 2^24, by the alphabet) go through the
     driver and to all tasks. No other corpus table is broadcast.
 
@@ -417,29 +520,37 @@ def score_texts(docs: DataFrame, *, depth: int = DEPTH) -> DataFrame:
     if not SHARED <= depth <= 6:
         raise ValueError("depth must be 3 to 6")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = clamp_partitions(total, BLOCK_BYTES, docs.sparkSession.sparkContext.defaultParallelism)
-    parts = clamp_partitions(total, PART_BYTES)
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    blocks = durable(docs.mapInArrow(_blocks, "block long, size long, docs binary"))
+    total, n_blocks = blocks.agg(F.sum("size"), F.count(F.lit(1))).first()
+    parts = min(MOST_PARTS, clamp_partitions(total or 0, PART_BYTES))
+    groups = clamp_partitions(n_blocks, GROUP_BLOCKS)
 
     def grouped(df: DataFrame, key: str, f, schema: str, **more) -> DataFrame:
         return df.groupBy(key).applyInArrow(lambda k, rows: f(k, rows, **more), schema)
 
-    stats = durable(grouped(docs, "block", _statistics, _PACK, depth=depth, parts=parts))
-    words = durable(grouped(stats.where(F.col("kind") != GRAMS), "part", _total_words, _PACK))
+    stats = durable(blocks.mapInArrow(partial(_statistics, depth=depth, parts=parts), _PACK))
+    counted, per = stats, 1
+    if groups > 1:
+        kept = stats.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("long"))
+        counted = durable(kept.groupBy("group", "part", "kind").applyInArrow(lambda k, rows: _added_up(k, rows.drop_columns(["group"]), parts), _PACK))
+        per = clamp_partitions(counted.agg(F.sum("distinct")).first()[0] or 0, PART_ITEMS * parts)
+        counted = durable(counted.mapInArrow(partial(_parted, per=per), _PACK)) if per > 1 else counted
+    words = durable(grouped(counted.where(F.col("kind") == WORDS), "part", _total_words, _PACK))
     distinct, tokens = (x or 0 for x in words.agg(F.sum("distinct"), F.sum("total")).first())
 
-    collected(docs.sparkSession)
-    asked = stats.where(F.col("kind") == GRAMS)
-    grams = durable(grouped(asked, "part", _total_grams, _PACK, groups=parts).withColumnRenamed("block", "group"))
+    asked = counted.where(F.col("kind") == GRAMS)
+    grams = durable(grouped(asked, "part", _total_grams, _PACK, groups=min(MOST_CONTEXTS, parts * per)).withColumnRenamed("block", "group"))
     upper = _upper_levels(grouped(grams, "group", _summary, "name long, zeros double, ones double, log_w double", depth=depth))
     shared = docs.sparkSession.sparkContext.broadcast(upper)
-    collected(docs.sparkSession)  # the texts' first shuffle, long ended, goes before the second
     scored = grouped(grams, "group", _gram_scores, _PACK, depth=depth, upper=shared)
     returned = asked.groupBy("part").cogroup(scored.groupBy("part")).applyInArrow(lambda k, a, b: _returned(k, a, b), _PACK)
 
     found = words.where(F.col("kind") != SUMS).union(returned)
-    out = docs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda k, a, b: _scores(k, a, b, depth=depth, parts=parts), _SCORES)
+    if groups > 1:
+        told = found.withColumn("group", F.col("block")).withColumn("whole", F.floor(F.col("part") / per).cast("int"))
+        down = lambda k, a, b: _handed_down(k, a, b, parts, per)
+        found = kept.groupBy("group", "part", "kind").cogroup(told.groupBy("group", "whole", "kind")).applyInArrow(down, _PACK)
+    out = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda k, a, b: _scores(k, a, b, depth=depth, parts=parts), _SCORES)
     return out.select(
         "doc_id",
         "held_out",

@@ -68,10 +68,16 @@ def scored(spark, rows, depth=ctw.DEPTH):
     return ctw.score_texts(docs.repartition(3), depth=depth).collect()
 
 
-@pytest.mark.parametrize(("depth", "block", "part"), [(5, 1 << 24, 1 << 24), (3, 300, 200), (4, 1 << 24, 100)])
-def test_equals_the_definition(spark, monkeypatch, depth, block, part):
+@pytest.mark.parametrize(
+    ("depth", "block", "part", "blocks", "items"),
+    [(5, 1 << 24, 1 << 24, 256, 1 << 22), (3, 300, 200, 256, 1 << 22), (4, 1 << 24, 100, 256, 1 << 22), (5, 300, 1000, 4, 1 << 22), (4, 200, 1000, 3, 40)],
+)
+def test_equals_the_definition(spark, monkeypatch, depth, block, part, blocks, items):
+    """Also with several blocks to a group, and the groups' parts split again."""
     monkeypatch.setattr(ctw, "BLOCK_BYTES", block)
     monkeypatch.setattr(ctw, "PART_BYTES", part)
+    monkeypatch.setattr(ctw, "GROUP_BLOCKS", blocks)
+    monkeypatch.setattr(ctw, "PART_ITEMS", items)
     texts = [t for t in cases.texts() if len(t or "") < 3000]
     texts += [texts[5], None]
     rows = [(i, t, i % 4 == 1, 1, "p", 2, "n") for i, t in enumerate(texts)]
@@ -85,14 +91,49 @@ def test_equals_the_definition(spark, monkeypatch, depth, block, part):
     for i, t, out, *_ in rows:
         w = lower(t).split()
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
-        expected[i, out, len(w) + 1, sum(c[x] > 0 for x in w) + 1, n, round(base, 6), round(tree.log10(lower(t)), 3)] += 1
+        expected[i, out, len(w) + 1, sum(c[x] > 0 for x in w) + 1, n, round(base, 6)] += 1
     found = scored(spark, rows, depth)
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 3)) for r in found) == expected
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found) == expected
+    by_text = {}
+    for i, t, *_ in rows:
+        by_text.setdefault(i, set()).add(tree.log10(lower(t)))
+    for r in found:
+        assert min(abs(r.score - x) / abs(x) for x in by_text[r.doc_id]) < 1e-9
     for r in found:
         size = len(lower(dict((x[0], x[1]) for x in rows)[r.doc_id])) + 1
         assert abs(r.code_length + r.score / math.log10(2) / size) < 1e-9
 
 
+def test_long_texts_equal_the_definition(spark):
+    """Texts of some 100,000 characters, alone in their blocks or not."""
+    texts = [t for t in cases.texts() if len(t or "") >= 3000] + ["short one", None]
+    rows = [(i, t, i == 1, 1, "p", 2, "n") for i, t in enumerate(texts)]
+    tree = Tree([(t or "").encode().lower() for i, t in enumerate(texts) if i != 1], 3)
+    for r in scored(spark, rows, 3):
+        x = tree.log10((texts[r.doc_id] or "").encode().lower())
+        assert abs(r.score - x) <= 1e-9 * abs(x)
+
+
+def _rows_a_block(spark, monkeypatch, n) -> float:
+    """Packed rows between the steps for each block, counted where they are written."""
+    seen = []
+    monkeypatch.setattr(ctw, "durable", lambda df: seen.append(ctw_durable(df)) or seen[-1])
+    docs = spark.range(0, n, 1, 4).selectExpr("id doc_id", "concat_ws(' ', sequence(id, id + 60)) text", "false held_out")
+    ctw.score_texts(docs).count()
+    blocks, *packs = seen
+    return sum(p.count() for p in packs) / blocks.count()
+
+
+ctw_durable = ctw.durable
+
+
+def test_packed_rows_grow_with_the_input(spark, monkeypatch):
+    """Four times the blocks do not make four times the rows a block."""
+    for name, value in {"BLOCK_BYTES": 2000, "PART_BYTES": 2000, "MOST_PARTS": 8, "GROUP_BLOCKS": 8, "PART_ITEMS": 4000, "MOST_CONTEXTS": 8}.items():
+        monkeypatch.setattr(ctw, name, value)
+    assert _rows_a_block(spark, monkeypatch, 400) < 1.3 * _rows_a_block(spark, monkeypatch, 100)
+
+
 def test_without_training_texts_each_bit_is_even(spark):
     (r,) = scored(spark, [(1, "ab", True, 1, "", 1, "")])
     assert abs(r.score + 24 * math.log10(2)) < 1e-6 and r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0
