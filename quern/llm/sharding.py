@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import clamp_partitions, durable, table
+from .common import durable, table
 
-#: Most rounds, priority bands in which moves to a shard are admitted, rows of a ranking bucket.
-ROUNDS, BANDS, BUCKET_ROWS = 12, 1024, 1 << 14
+#: Most rounds, priority bands in which moves to a shard are admitted.
+ROUNDS, BANDS = 12, 1024
+#: A row's number in its task, and of tasks in a thousand of them, as bits: rows of a ranking bucket, tasks summed together.
+BUCKET_BITS, TASK_BITS, SUMMED_BITS = 14, 33, 10
 
 
 def _propagate(cells: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
@@ -17,7 +19,8 @@ def _propagate(cells: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
 
     A cell's neighbours are the other cells of its group. In each round a cell
     proposes to go where most of its neighbours' rows are, among the shards with
-    room for a cell, unless more are where it is (ties: the lower shard). Proposals
+    room for a cell, unless more are where it is (ties: by a hash of group and shard, so that
+    they spread evenly). Proposals
     to a shard are admitted by bands of hashed cells while they fit what the shard
     has free. The driver sees sums by shard and by shard and band only.
     """
@@ -26,7 +29,7 @@ def _propagate(cells: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
         free = [q - load.get(s, 0) for s, q in enumerate(quotas)]
         sums = cells.groupBy("gid", "shard").agg(F.sum("c").alias("w"), F.min("c").alias("least"))
         # At most one entry a shard.
-        groups = sums.groupBy("gid").agg(F.collect_list(F.struct("w", (-F.col("shard")).alias("back"))).alias("at"), F.min("least").alias("least"))
+        groups = sums.groupBy("gid").agg(F.collect_list(F.struct("w", F.xxhash64("gid", "shard").alias("tie"), (-F.col("shard")).alias("back"))).alias("at"), F.min("least").alias("least"))
         roomy = F.filter("at", lambda e: _by_shard(free, -e.back) >= F.col("least"))
         groups = durable(groups.select("gid", F.array_max(roomy).alias("best"), "at"))
         own = F.get(F.filter("at", lambda e: e.back == -F.col("shard")), F.lit(0))
@@ -47,18 +50,31 @@ def _propagate(cells: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
     return cells
 
 
-def _ranked(rows: DataFrame, key: str, total: int, order: list[str]) -> DataFrame:
-    """``rows`` with ``rank``, gapless from 0 within each ``key``, in hashed order.
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """``rows``, cut to disk, with ``bucket``: the next 2^14 rows of a task have one, whatever they hold, so no bucket is larger."""
+    return durable(rows.withColumn("bucket", F.shiftright(F.monotonically_increasing_id(), BUCKET_BITS)))
 
-    Rows are numbered within buckets of bounded size, and a bucket begins where
-    the buckets before it end.
+
+def _ranked(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of ``_bucketed`` with ``rank``, gapless from 0 within each ``key``, in the order of buckets.
+
+    Rows are numbered within buckets. A bucket begins where the buckets before it
+    end: those of its task, the tasks before it, and the thousands of tasks before it
+    are summed apart, so no window holds more than about a thousand sums, or one for each thousand tasks.
     """
-    buckets = clamp_partitions(total, BUCKET_ROWS, 512)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    sizes = rows.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy(key).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    begins = durable(sizes.select(key, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin")))
-    within = F.row_number().over(W.partitionBy(key, "bucket").orderBy(*order))
+    task, thousand = (F.shiftright("bucket", n) for n in (TASK_BITS - BUCKET_BITS, TASK_BITS - BUCKET_BITS + SUMMED_BITS))
+    sizes = durable(rows.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))).withColumn("task", task).withColumn("thousand", thousand)
+
+    def begun(sums: DataFrame, within: list[str], by: str, name: str) -> DataFrame:
+        before = W.partitionBy(*within).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+        return sums.withColumn(name, F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+
+    tops = begun(sizes.groupBy(key, "thousand").agg(F.sum("n").alias("n")), [key], "thousand", "top")
+    tasks = begun(sizes.groupBy(key, "thousand", "task").agg(F.sum("n").alias("n")), [key, "thousand"], "task", "middle")
+    low = begun(sizes, [key, "task"], "bucket", "low").drop("thousand")
+    begins = low.join(tasks, [key, "task"]).join(tops, [key, "thousand"])
+    begins = durable(begins.select(key, "bucket", (F.col("low") + F.col("middle") + F.col("top")).alias("begin")))
+    within = F.row_number().over(W.partitionBy(key, "bucket").orderBy("doc_id", "size"))
     return rows.withColumn("within", within).join(begins, [key, "bucket"]).withColumn("rank", F.col("begin") + F.col("within") - 1).drop("bucket", "within", "begin")
 
 
@@ -102,8 +118,9 @@ def shard_documents(docs: DataFrame, *, shards: int = 16, rounds: int = ROUNDS)
     cells = _propagate(cells, quotas, rounds)
 
     # Unlinked rows have the key of no shard.
-    wanted = durable(rows.join(cells.select("gid", "init", "shard"), ["gid", "init"], "left").withColumn("key", F.coalesce("shard", F.lit(shards))))
-    ranked = _ranked(wanted.drop("gid", "init", "shard"), "key", total, ["doc_id", "size", "text_crc32"])
+    wanted = rows.join(cells.select("gid", "init", "shard"), ["gid", "init"], "left").withColumn("key", F.coalesce("shard", F.lit(shards)))
+    wanted = _bucketed(wanted.drop("gid", "init", "shard"))
+    ranked = _ranked(wanted, "key")
     asked = dict(wanted.groupBy("key").count().collect())
     placed = [min(asked.get(s, 0), q) for s, q in enumerate(quotas)]
     over = [asked.get(s, 0) - p for s, p in enumerate(placed)]

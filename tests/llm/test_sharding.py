@@ -41,3 +41,30 @@ def test_one_text_for_all_and_few_rows(spark):
     for n in (0, 1, 5, 100):
         rows = [(i, "same") for i in range(n)]
         check(rows, sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def cut(rows, shard_of) -> int:
+    """Edges cut, by brute force: pairs of rows with one text in different shards."""
+    text = dict(rows)
+    return sum(text[a] == text[b] and shard_of[a] != shard_of[b] for a in text for b in text if a < b)
+
+
+def test_fewer_edges_are_cut_than_by_hashing_or_dealing_in_turn(spark):
+    rng = random.Random(7)
+    rows = [(i, f"text {rng.randrange(150)}" if i % 2 else f"alone {i}") for i in range(900)]
+    found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    check(rows, found)
+    own = cut(rows, {r.doc_id: r.shard for r in found})
+    hashed = cut(rows, {i: zlib.crc32(str(i).encode()) % 16 for i, _ in rows})
+    dealt = cut(rows, {i: i % 16 for i, _ in rows})
+    # All groups are far smaller than a shard, so the optimum cuts none.
+    assert min(hashed, dealt) > 500 and own <= 0.05 * min(hashed, dealt)
+
+
+def test_a_third_of_all_rows_alike_share_no_bucket(spark):
+    """Rows with one id and text lie in buckets of bounded size, and sums go by task and thousands of tasks."""
+    rows = [(7, "same")] * 20_000 + [(i, f"t {i}") for i in range(40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check(rows, sharding.shard_documents(docs).collect())
+    sizes = sharding._bucketed(docs).groupBy("bucket").count().collect()
+    assert max(r["count"] for r in sizes) <= 1 << sharding.BUCKET_BITS
