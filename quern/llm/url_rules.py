@@ -63,14 +63,14 @@ def prefix_stacks(starts: DataFrame, points: DataFrame) -> DataFrame:
     ranges = clamp_partitions(events.count(), RANGE_ROWS)
     sorted_ = durable(events.repartitionByRange(ranges, "key").withColumn("range", F.spark_partition_id()))
     ends = sorted_.where("opened is not null").groupBy("range").agg(F.max_by("opened", "key").alias("last"))
-    # One row for each range.
+    # One row for each range, so few that Spark may choose to send them; nothing bids it to.
     whole = sorted_.select("range").distinct().join(ends, "range", "left")
     before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     carried = durable(whole.select("range", F.last("last", ignorenulls=True).over(before).alias("carried")))
     # A start comes before a point of the same key: it is the one that is not null.
     sweep = W.partitionBy("range").orderBy("key", F.col("opened").isNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
     swept = sorted_.withColumn("active", F.last("opened", ignorenulls=True).over(sweep)).where("opened is null")
-    swept = swept.join(F.broadcast(carried), "range").select("key", F.coalesce("active", "carried").alias("active"))
+    swept = swept.join(carried, "range").select("key", F.coalesce("active", "carried").alias("active"))
     stack = F.filter("active", lambda start: F.startswith(F.col("key"), start))
     return swept.select("key", stack.alias("stack")).where(F.size("stack") > 0)
 
@@ -117,7 +117,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, default: str = "allow") ->
 
 
 def rules_frame(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    """Rules (verdict, host, path) as literal rows of the plan; a large set is better read as a table of its own."""
+    rows = [F.struct(*[F.lit(x).cast("string").alias(c) for c, x in zip(("verdict", "host", "path"), rule, strict=True)]) for rule in rules]
+    kind = "array<struct<verdict:string,host:string,path:string>>"
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*rows).cast(kind)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
