@@ -88,6 +88,7 @@ def byte_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray,
             now = place[key]
         else:
             distinct, now = np.unique(key, return_inverse=True)
+            now = now.astype(np.int32)
         values = (values[distinct // size] << 8) | present[distinct % size]
     return now, values, lengths
 
@@ -105,7 +106,7 @@ def _runs(texts: list[bytes], limit: int = 4 << 20):
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's rows as blocks of about ``BLOCK_BYTES`` of lower-cased text, each compressed into one row."""
+    """A task's rows as blocks of up to ``BLOCK_BYTES`` of lower-cased text (a longer text alone), each compressed into one row."""
     first, n, held, size = TaskContext.get().partitionId() << 24, 0, [], 0
 
     def packed() -> pa.RecordBatch:
@@ -116,13 +117,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()])], names=["block", "size", "docs"])
 
     for batch in batches:
-        for own, texts in slices(batch, limit=BLOCK_BYTES):
-            ids, out = (own.column(own.schema.get_field_index(c)) for c in ("doc_id", "held_out"))
-            held.append(pa.table({"doc_id": ids, "held_out": out, "text": pa.array([t.lower() for t in texts], pa.large_binary())}))
-            size += sum(map(len, texts))
-            if size >= BLOCK_BYTES:
+        for own, texts in slices(batch, limit=BLOCK_BYTES // 4):
+            more = sum(map(len, texts))
+            if held and size + more > BLOCK_BYTES:
                 yield packed()
                 n, held, size = n + 1, [], 0
+            ids, out = (own.column(own.schema.get_field_index(c)) for c in ("doc_id", "held_out"))
+            held.append(pa.table({"doc_id": ids, "held_out": out, "text": pa.array([t.lower() for t in texts], pa.large_binary())}))
+            size += more
     if held:
         yield packed()
     released()
