@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -61,6 +62,50 @@ def test_shares_maximise_the_likelihood():
     assert np.log(np.exp(log_p[codes]) @ share).sum() >= best - 0.05
 
 
+def plain_mixture(p, n_languages):
+    """The best shares of one document's words for each set of languages, by many rounds of expectation-maximisation from even shares."""
+    best = {}
+    for size in range(1, n_languages + 1):
+        for chosen in combinations(range(n_languages), size):
+            share = np.zeros(n_languages)
+            share[list(chosen)] = 1 / size
+            for _ in range(2000 if size > 1 else 0):
+                weight = p * share
+                share = (weight / weight.sum(axis=1, keepdims=True)).mean(axis=0)
+            best[chosen] = share, np.log(p @ share).sum()
+    return best
+
+
+def test_sets_and_shares_of_the_shipped_settings_against_all_sets():
+    """With the shipped rounds and penalty, the set chosen is the best of all sets by penalised likelihood, and its shares are near the optimum."""
+    rng = np.random.default_rng(4)
+    log_p = np.log(np.concatenate([rng.dirichlet(np.where(np.arange(90) // 30 == k, 2.0, 0.15), 1) for k in range(3)]).T)
+    right, total = 0, 0
+    for _ in range(150):
+        mix = rng.dirichlet(np.array([0.4, 0.4, 0.4]))
+        n = int(rng.integers(20, 300))
+        language_of = rng.choice(3, n, p=mix)
+        codes = np.array([rng.choice(90, p=np.exp(log_p[:, k]) / np.exp(log_p[:, k]).sum()) for k in language_of])
+        share = language.infer_mixtures(log_p, codes, np.array([n]))[0]
+        p = np.exp(log_p[codes])
+        charge = language.PENALTY * 0.5 * np.log(n + 1)
+        best = plain_mixture(p, 3)
+        value = {s: ll - charge * (len(s) - 1) for s, (_, ll) in best.items()}
+        chosen = tuple(np.flatnonzero(share > 0).tolist())
+        total += 1
+        right += max(value, key=value.get) == chosen
+        assert max(value.values()) - value[chosen] < 2 * charge
+        assert best[chosen][1] - np.log(p @ share).sum() < 0.5
+    assert right >= 0.95 * total
+
+
+def test_ties_go_to_the_first_language(spark):
+    """Two languages with the same texts: each text is of the one that is first in ascending order."""
+    rows = [(i, "oro ono oko " * 5, lang) for i, lang in enumerate(["z", "y"] * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language.identify_languages(docs, language.learn_languages(docs)).collect()} == {"y"}
+
+
 def test_held_out_accuracy(spark):
     found = language.query(spark, SMALL)
     truth = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang")

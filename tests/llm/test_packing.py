@@ -89,3 +89,82 @@ def test_word_tokenizer_equals_the_library(monkeypatch, remembered):
         ends = np.cumsum(counts)
         for t, e, n in zip(part, ends.tolist(), counts.tolist(), strict=True):
             assert ids[e - n : e].tolist() == [*library.encode(t, add_special_tokens=False).ids, 2], repr(t)
+
+
+def plainly(batches, longest, shortest):
+    """The packing rule by lists that are searched from end to end: (document, start, length, window, offset, tier)."""
+    waiting, out, windows = [], [], 0
+
+    def emit(parts, tier):
+        nonlocal windows
+        offset = 0
+        for doc, start, length in parts:
+            out.append((doc, start, length, windows, offset, tier))
+            offset += length
+        windows += 1
+
+    def take(length):
+        at = max(i for i, r in enumerate(waiting) if r[2] == length)
+        return waiting.pop(at)
+
+    def tier_of(length):
+        tier = shortest
+        while tier < length:
+            tier *= 2
+        return tier
+
+    def pack():
+        while waiting:
+            top = max(r[2] for r in waiting)
+            if sum(r[2] for r in waiting) < tier_of(top):
+                return
+            parts = [take(top)]
+            gap = tier_of(top) - top
+            while gap:
+                fitting = [r[2] for r in waiting if r[2] <= gap]
+                if fitting:
+                    parts.append(take(max(fitting)))
+                else:
+                    doc, start, length = take(min(r[2] for r in waiting))
+                    parts.append((doc, start, gap))
+                    waiting.append((doc, start + gap, length - gap))
+                gap -= parts[-1][2]
+            emit(parts, tier_of(top))
+
+    for batch in batches:
+        for doc, n in batch:
+            for start in range(0, n - n % longest, longest):
+                emit([(doc, start, longest)], longest)
+            if n % longest:
+                waiting.append((doc, n - n % longest, n % longest))
+        pack()
+    left, rests = sum(r[2] for r in waiting), sorted(waiting, key=lambda r: -r[2])
+    while left:
+        tier = longest
+        while tier > left:
+            tier //= 2
+        left, parts, gap = left - tier, [], tier
+        while gap:
+            doc, start, length = rests.pop(0)
+            parts.append((doc, start, min(gap, length)))
+            if length > gap:
+                rests.insert(0, (doc, start + gap, length - gap))
+            gap -= parts[-1][2]
+        emit(parts, tier)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_routes_and_gaps_equal_the_rule_by_brute_force(seed):
+    import random
+
+    rng = random.Random(seed)
+    batches = [[(f * 1000 + i, rng.choice([rng.randint(1, 40), rng.randint(1, 300), 64, 16])) for i in range(rng.randint(0, 60))] for f in range(5)]
+    packer = packing.Packer(0, 64, 8)
+    for batch in batches:
+        for doc, n in batch:
+            packer.add(doc, bytes(4 * n))
+        packer.pack()
+    packer.finish()
+    found = [(doc, start, length, window, offset, tier) for doc, start, length, _, _, window, offset, tier, _ in packer.rows]
+    assert found == plainly(batches, 64, 8)

@@ -53,3 +53,9 @@ def test_clean_documents_survive_the_filters(spark):
     told = corpus_pipeline.language_id(spark, docs, SMALL)
     assert told.count() == docs.count()
     assert exact_dedup.drop_exact_duplicates(told).select("text").distinct().count() == docs.select("text").distinct().count()
+
+
+def test_no_stage_runs_again_for_the_next_one(spark):
+    """The last stage's plan starts from what is on disk: no language function and no shingle in it."""
+    plan = corpus_pipeline.run(spark, SMALL)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan and "documents.parquet" not in plan
