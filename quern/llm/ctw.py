@@ -22,8 +22,8 @@ DEPTH, SHARED = 5, 3
 BLOCK_BYTES, PART_BYTES, MOST_PARTS = 12 << 20, 24 << 20, 256
 #: Blocks that are added up before they are brought together with others; words or grams of all their sums for each part of these.
 GROUP_BLOCKS, PART_ITEMS = 256, 1 << 22
-#: Most groups of contexts.
-MOST_CONTEXTS = 4096
+#: Most groups of contexts, and most tasks to which the blocks are dealt at the end.
+MOST_CONTEXTS, MOST_TASKS = 4096, 100_000
 #: Marks the beginning and the end of a text; no UTF-8 text has this byte.
 EDGE = b"\xff"
 #: Name of the end token among words; no word has this byte.
@@ -552,6 +552,9 @@ def score_texts(docs: DataFrame, *, depth: int = DEPTH) -> DataFrame:
         told = found.withColumn("group", F.col("block")).withColumn("whole", F.floor(F.col("part") / per).cast("int"))
         down = lambda k, a, b: _handed_down(k, a, b, parts, per)
         found = kept.groupBy("group", "part", "kind").cogroup(told.groupBy("group", "whole", "kind")).applyInArrow(down, _PACK)
+    # Twice as many tasks as blocks, so that few blocks meet in one by their hash.
+    tasks = min(2 * max(1, n_blocks), MOST_TASKS)
+    blocks, found = (df.repartition(tasks, "block") for df in (blocks, found))
     out = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda k, a, b: _scores(k, a, b, depth=depth, parts=parts), _SCORES)
     return out.select(
         "doc_id",
