@@ -25,7 +25,7 @@ LONGEST, SHORTEST, STEP_TOKENS = 4096, 512, 1 << 17
 #: Bytes of text that are worked on together.
 SLICE = 4 << 20
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
