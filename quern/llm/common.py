@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..sources import durable
 
 SLICE_BYTES = 8 << 20
+#: Small rows (ids, hashes, edges) that a file of a cut holds, about.
+ROWS_A_FILE = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,14 +55,25 @@ def clamp_partitions(total: float, each: float, least: int = 1) -> int:
     return max(least, int(-(-total // each)))
 
 
-def min_by_key(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-    """Attach to each row the least ``value`` of its ``key``.
+def settled(df: DataFrame, rows: int | None) -> DataFrame:
+    """``durable`` for about ``rows`` small rows: tasks and files grow with them, not with the partitions of a shuffle.
+
+    A wrong number changes how many files there are, nothing else; None leaves the partitions as they are.
+    """
+    if rows is None:
+        return durable(df)
+    least = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return durable(df.coalesce(clamp_partitions(rows, ROWS_A_FILE, least)))
+
+
+def min_by_key(df: DataFrame, key: str, value: Column, name: str, rows: int) -> DataFrame:
+    """Attach to each of about ``rows`` rows the least ``value`` of its ``key``.
 
     The minimum is combined before the shuffle and cut to disk, so that both
     sides of the join back are plain scans and adaptive execution may split a
     key that holds a large share of the rows.
     """
-    least = durable(df.groupBy(key).agg(F.min(value).alias(name)))
+    least = settled(df.groupBy(key).agg(F.min(value).alias(name)), rows)
     return df.join(least, key)
 
 

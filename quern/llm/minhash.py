@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import collected, durable, ragged, released, slices, starts_of, table, word_codes
+from .common import durable, ragged, released, settled, slices, starts_of, table, word_codes
 from .components import connected_components
 
 #: Rows of a band, and the probability with which a pair at the least similarity may share no band.
@@ -139,10 +139,9 @@ def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
                 [
                     own.column(own.schema.get_field_index("cluster")).take(pa.array(keep, pa.int64())),
                     pa.array([wanted[i] for i in keep], pa.binary()),
-                    pa.array([int(counts[i]) for i in keep], pa.int64()),
                     pa.array([sets[ends[i] - counts[i] : ends[i]].tobytes() for i in keep], pa.binary()),
                 ],
-                names=["cluster", "node", "n", "members"],
+                names=["cluster", "node", "members"],
             )
     released()
 
@@ -261,33 +260,34 @@ def near_duplicates(
         )
     )
     usable = sketch.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    first = durable(usable.groupBy("node").agg(F.min("doc_id").alias("first_id")))
+    texts = usable.count()
+    first = settled(usable.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n")), texts)
 
     member = usable.select("node", "doc_id", F.posexplode("bands").alias("band", "hash"))
-    heads = durable(
-        member.groupBy("band", "hash").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("hash", "band", "head")
-    )
-    star = durable(usable.select("node", F.posexplode("bands").alias("band", "hash")).join(heads, ["hash", "band"]).select("node", "head").where("node != head").distinct())
-    clusters = durable(connected_components(star, "node", "head").select("node", F.col("root").alias("cluster")).join(first, "node"))
-
-    wanted = whole.join(clusters.withColumnRenamed("first_id", "doc_id"), "doc_id").select("cluster", "node", "text")
-    sets = durable(wanted.mapInArrow(partial(_full_sets, width=width), "cluster binary, node binary, n long, members binary"))
-    collected(docs.sparkSession)  # the texts' shuffle
-    chunks = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("total"))
-    chunks = durable(chunks.select("cluster", F.greatest(F.ceil(F.col("nodes") / CHUNK_NODES), F.ceil(F.col("total") / CHUNK_SHINGLES)).cast("int").alias("parts")))
+    heads = member.groupBy("band", "hash").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail")
+    heads = settled(heads.select("hash", "band", "head"), texts * bands)
+    star = usable.select("node", F.posexplode("bands").alias("band", "hash")).join(heads, ["hash", "band"]).select("node", "head").where("node != head")
+    clusters = connected_components(star, "node", "head", texts * bands).select("node", F.col("root").alias("cluster")).join(first, "node")
+    clusters = settled(clusters, texts)
+
+    wanted = whole.join(clusters.select("cluster", "node", F.col("first_id").alias("doc_id")), "doc_id").select("cluster", "node", "text")
+    sets = wanted.mapInArrow(partial(_full_sets, width=width), "cluster binary, node binary, members binary")
+    chunks = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("total"))
+    chunks = chunks.select("cluster", F.greatest(F.ceil(F.col("nodes") / CHUNK_NODES), F.ceil(F.col("total") / CHUNK_SHINGLES)).cast("int").alias("parts"))
+    chunks = settled(chunks.where("parts > 1"), texts)
     # A cluster of p parts is dealt to p (p + 1) / 2 tasks; each compares a part with itself or two parts with each other.
     # The few clusters of several parts are matched by salted keys, as one may hold a large share of the sets.
-    salted = chunks.where("parts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = chunks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = sets.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["cluster", "salt"], "left")
     dealt = dealt.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "members")
     confirm = partial(_confirm, num=num, den=den, k=rows * bands, seed=seed, agree=agree)
     links = dealt.groupBy("cluster", "i", "j").applyInPandas(lambda key, pdf: confirm(key, pdf), "a binary, b binary")
-    groups = durable(connected_components(links, "a", "b").join(first, "node"))
+    groups = settled(connected_components(links, "a", "b", texts).join(first, "node"), texts)
     least = groups.groupBy("root").agg(F.min("first_id").alias("component"))
     named = groups.join(least, "root").select("node", "component")
-    named = durable(first.join(named, "node", "left").select("node", F.coalesce("component", "first_id").alias("component")))
+    named = settled(first.join(named, "node", "left").select("node", F.coalesce("component", "first_id").alias("component")), texts)
 
     out = sketch.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component")))
