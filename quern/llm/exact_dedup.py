@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table, whole_row
+from .common import durable, settled, table, whole_row
 
 #: Cells of the filter for each row; rows of a stretch of the filter, about; fewest stretches.
 CELLS_A_ROW, STRETCH_ROWS, STRETCHES = 512, 1 << 20, 32
@@ -74,17 +74,18 @@ def repeated_filter(hashes: DataFrame, k: int, rows: int) -> Filter:
     lists = lists.groupBy("stretch").agg(F.sort_array(F.collect_list("place")).alias("places"))
     again = F.filter("places", lambda p, i: (i > 0) & (p == F.get("places", i - 1)))
     words = lists.select("stretch", F.explode(F.array_distinct(again)).alias("place")).withColumn("cell", F.col("stretch") * width + F.col("place"))
-    words = durable(words.groupBy("stretch", F.shiftright("cell", 6).alias("word")).agg(F.bit_or(_bit(F.col("cell"))).alias("bits")).select("word", "bits"))
+    words = words.groupBy("stretch", F.shiftright("cell", 6).alias("word")).agg(F.bit_or(_bit(F.col("cell"))).alias("bits"))
+    words = settled(words.select("word", "bits"), rows)
     return Filter(k, cells, words, words.count(), hot)
 
 
-def with_suspects(rows: DataFrame, filter_: Filter, *, most_words: int = MOST_WORDS, cut: bool = False) -> DataFrame:
+def with_suspects(rows: DataFrame, filter_: Filter, *, most_words: int = MOST_WORDS, cut: int | None = None) -> DataFrame:
     """``rows`` with ``suspect``: false only if no other row has the same ``hash``.
 
     A filter of up to ``most_words`` words is sent to the executors whole. A larger one is
     sent by ranges of hashes, each within the bound, and each range's rows are
-    looked up in a pass of their own; with ``cut`` a pass ends before the next one's
-    words are sent. The names of the columns other than ``hash`` must not begin with ``_``.
+    looked up in a pass of their own; with ``cut``, about the number of rows, a pass ends before the next
+    one's words are sent. The names of the columns other than ``hash`` must not begin with ``_``.
     """
     names = rows.columns
     ranges = max(1, -(-filter_.size // most_words))
@@ -98,7 +99,7 @@ def with_suspects(rows: DataFrame, filter_: Filter, *, most_words: int = MOST_WO
         if filter_.hot:
             hit = hit | F.col("hash").isin(*filter_.hot)
         own = own.join(F.broadcast(known), word == F.col("_word"), "left").select(*names, hit.alias("suspect"))
-        own = durable(own) if cut else own
+        own = settled(own, cut // ranges) if cut is not None else own
         out = own if out is None else out.union(own)
     return out
 
@@ -107,9 +108,9 @@ def _text(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
-def _groups(suspects: DataFrame) -> DataFrame:
+def _groups(suspects: DataFrame, most: int) -> DataFrame:
     """Size and largest id of each suspect text, combined before the shuffle."""
-    return durable(suspects.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    return settled(suspects.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), most)
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -124,10 +125,11 @@ def _sorted_out(rows: DataFrame, most_words: int) -> tuple[list[Filter], DataFra
     """
     filters, straight = [], []
     for k in (0, 1):
-        filters.append(repeated_filter(rows.select("hash"), k, rows.count()))
-        marked = with_suspects(rows, filters[-1], most_words=most_words, cut=True)
+        n = rows.count()
+        filters.append(repeated_filter(rows.select("hash"), k, n))
+        marked = with_suspects(rows, filters[-1], most_words=most_words, cut=n)
         straight.append(marked.where("not suspect").drop("suspect"))
-        rows = durable(marked.where("suspect").drop("suspect"))
+        rows = settled(marked.where("suspect").drop("suspect"), n)
     return filters, rows, straight
 
 
@@ -151,7 +153,7 @@ def exact_duplicates(docs: DataFrame, *, most_words: int = MOST_WORDS) -> DataFr
     An empty table gives no rows. Other columns are ignored.
     """
     _, suspects, straight = _sorted_out(_narrow(docs), most_words)
-    out = suspects.join(_groups(suspects), "sha").select("doc_id", "keep_id", "group_size", "sha")
+    out = suspects.join(_groups(suspects, suspects.count()), "sha").select("doc_id", "keep_id", "group_size", "sha")
     for rows in straight:
         out = out.union(rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha"))
     return out.select(
@@ -174,11 +176,12 @@ def drop_exact_duplicates(docs: DataFrame, *, most_words: int = MOST_WORDS) -> D
     and ``docs`` is then read once for each range.
     """
     _, suspects, _ = _sorted_out(_narrow(docs), most_words)
-    groups = _groups(suspects)
-    repeated = durable(suspects.join(groups.where("group_size > 1"), "sha", "left_semi").select("hash").distinct())
+    n = suspects.count()
+    groups = _groups(suspects, n)
+    repeated = settled(suspects.join(groups.where("group_size > 1"), "sha", "left_semi").select("hash").distinct(), n)
     cells = _cells(repeated.count())
     cell = _cell(F.col("hash"), 0, cells)
-    words = durable(repeated.groupBy(F.shiftright(cell, 6).alias("word")).agg(F.bit_or(_bit(cell)).alias("bits")))
+    words = settled(repeated.groupBy(F.shiftright(cell, 6).alias("word")).agg(F.bit_or(_bit(cell)).alias("bits")), n)
     packed = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(_text(F.col("text"))).alias("hash"))
     marked = with_suspects(packed, Filter(0, cells, words, words.count()), most_words=most_words)
     straight = marked.where("not suspect").select("row.*")
