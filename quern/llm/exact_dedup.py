@@ -15,6 +15,8 @@ CELLS_A_ROW, STRETCH_ROWS, STRETCHES = 512, 1 << 20, 32
 MOST_WORDS = 1 << 20
 #: Hashes that are watched as frequent ones, and the most that are taken for such.
 WATCHED, MOST_HOT = 10_000, 256
+#: Places of one hash in a list, about, before the lists of a stretch are split.
+MOST_PLACES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -53,15 +55,22 @@ def _frequent(hashes: DataFrame, rows: int) -> tuple[int, ...]:
     return tuple(sorted(t["item"] for t in found if t["count"] * MOST_HOT > rows))
 
 
-def repeated_filter(hashes: DataFrame, k: int, rows: int) -> Filter:
+def _twice(places: Column) -> Column:
+    """Sorted ``places`` with each place twice at most."""
+    return F.filter(places, lambda p, i: (i < 2) | (p != F.get(places, i - 2)))
+
+
+def repeated_filter(hashes: DataFrame, k: int, rows: int, *, most_places: int = MOST_PLACES) -> Filter:
     """First pass: the filter of the cells that more than one of the ``rows`` rows of ``hashes`` has hit.
 
     The number of cells grows with the rows, so a filter is never fuller than
     ``rows`` / cells. Each task packs its rows into lists of places, one for each
     stretch of the filter, and the lists are what is shuffled: not a row a document,
-    and some bytes for each. A frequent hash is repeated anyway and left out of the
-    lists, so a stretch has a bounded number of places. The result has only words
-    with a cell that was hit again.
+    and some bytes for each. A hash of more than 1 / ``MOST_HOT`` of the rows is repeated
+    anyway and left out of the lists. One just below that could still give a stretch more
+    than ``most_places`` places, so a stretch is first gathered by parts whose number grows with the rows,
+    by task, and a part hands on a place twice at most. The result has only words with a
+    cell that was hit again.
     """
     cells, stretches = _cells(rows), 1
     while stretches < max(STRETCHES, rows // STRETCH_ROWS):
@@ -71,7 +80,11 @@ def repeated_filter(hashes: DataFrame, k: int, rows: int) -> Filter:
     cold = hashes.where(~F.col("hash").isin(*hot)) if hot else hashes
     cell = _cell(F.col("hash"), k, cells)
     lists = cold.select(F.shiftright(cell, width.bit_length() - 1).alias("stretch"), F.pmod(cell, F.lit(width)).cast("int").alias("place"))
-    lists = lists.groupBy("stretch").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    parts = -(-max(1, rows) // (MOST_HOT * most_places))
+    lists = lists.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(parts)))
+    lists = lists.groupBy("stretch", "part").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    lists = lists.select("stretch", _twice(F.col("places")).alias("places"))
+    lists = lists.groupBy("stretch").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
     again = F.filter("places", lambda p, i: (i > 0) & (p == F.get("places", i - 1)))
     words = lists.select("stretch", F.explode(F.array_distinct(again)).alias("place")).withColumn("cell", F.col("stretch") * width + F.col("place"))
     words = words.groupBy("stretch", F.shiftright("cell", 6).alias("word")).agg(F.bit_or(_bit(F.col("cell"))).alias("bits"))

@@ -103,3 +103,13 @@ def test_a_hot_text_is_left_out_of_the_lists(spark):
     made = exact_dedup.repeated_filter(rows, 0, 30_000)
     assert len(made.hot) == 1
     assert 10_000 <= exact_dedup.with_suspects(rows, made).where("suspect").count() < 10_200
+
+
+@pytest.mark.parametrize("most_places", [2, 1 << 20])
+def test_lists_of_a_stretch_are_split_by_task_and_lose_nothing(spark, most_places):
+    """Texts of 100 copies, too few to be hot: with and without parts, the filter has the same words."""
+    rows = exact_dedup._narrow(spark.range(0, 30_000, 1, 4).selectExpr("id doc_id", "cast(if(id < 20000, id, id % 100) as string) text")).select("hash")
+    made = exact_dedup.repeated_filter(rows, 0, 30_000, most_places=most_places)
+    whole = exact_dedup.repeated_filter(rows, 0, 30_000)
+    assert made.hot == () and sorted(made.words.collect()) == sorted(whole.words.collect())
+    assert 10_100 <= exact_dedup.with_suspects(rows, made).where("suspect").count() < 10_300
