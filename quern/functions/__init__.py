@@ -6,6 +6,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def micros(column: str, kind: str) -> Column:
+    """Microseconds since 1970 of a time column of type ``kind``: of a wall clock as it stands, in any session time zone."""
+    own = F.col("`" + column.replace("`", "``") + "`")
+    if kind != "timestamp_ntz":
+        return F.unix_micros(own.cast("timestamp"))
+    since = own - F.expr(_EPOCH)
+    part = lambda field: F.extract(F.lit(field), since)
+    whole = (part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return whole * F.lit(60_000_000).cast("long") + (part("SECOND") * 1_000_000).cast("long")
+
+
+def instant(column: str, kind: str) -> Column:
+    """A time column as an instant; a wall clock is taken to be in UTC."""
+    return F.timestamp_micros(micros(column, kind))
+
+
+def wall_clock(column: str) -> Column:
+    """An instant as the wall clock in UTC."""
+    return F.expr(_EPOCH) + F.make_dt_interval(secs=(F.unix_micros(F.col(column)) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)"))
+
+
+def quoted_columns(names: list[str]) -> list[Column]:
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def money(column: Column | str, scale: int = 2) -> Column:
     """A double that holds decimal amounts, as an exact decimal."""
     return (F.col(column) if isinstance(column, str) else column).cast(f"decimal(18,{scale})")

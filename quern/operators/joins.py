@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranges import carried, quoted, ranged, unused
+from .ranges import RANGE_ROWS, carried, largest_group, quoted, ranged, unused
 
 
-def as_of_join(left: DataFrame, right: DataFrame, key: str, time: str, columns: list[str]) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, key: str, time: str, columns: list[str], most: int = RANGE_ROWS) -> DataFrame:
     """Each left row with ``columns`` of the last right row of its key at or before its time.
 
-    Both sides are sorted together by (key, time) into ranges of bounded size, and a
-    window carries the last right row forward within each range; where a range
+    Both sides are put together, and keys of at most ``most`` rows go through a plain window. Where one has
+    more, rows are sorted by (key, time) into ranges of bounded size, and a window carries the last right row forward within each range; where a range
     begins inside a key, the last right row of the ranges before it comes from one row a
     range. So a key that holds a large share of the rows lies in many ranges, and
     there is no join of rows. Right rows of one key and time: the largest by
@@ -24,7 +24,16 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, time: str, columns:
     a = keyed.select(F.col(key).alias("key"), F.col(time).alias("time"), F.lit(1).alias("side"), F.struct(*[F.col(quoted(c)) for c in left.columns]).alias("row"))
     b = right.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(time).alias("time"), F.lit(0).alias("side"), F.struct(*columns).alias("last"))
     order = ["key", "time", "side", "last"]
-    both = ranged(a.unionByName(b, allowMissingColumns=True), order)
+    both = a.unionByName(b, allowMissingColumns=True)
+    kinds = dict(right.dtypes)
+    missing = bare.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in columns])
+    largest, total = largest_group(both, ["key"])
+    if largest <= most:
+        own = W.partitionBy("key").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        held = F.last(F.when(F.col("side") == 0, F.col("last")), ignorenulls=True).over(own)
+        found = both.withColumn("held", held).where("side = 1")
+        return found.select("row.*", *[F.col("held")[c].alias(c) for c in columns]).union(missing)
+    both = ranged(both, order, most, total)
     until = W.partitionBy("range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     known = F.when(F.col("side") == 0, F.struct("key", "last"))
     both = both.withColumn("known", F.last(known, ignorenulls=True).over(until))
@@ -32,8 +41,7 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, time: str, columns:
     found = both.where("side = 1").join(ends, "range", "left").withColumn("known", F.coalesce("known", "carried"))
     held = F.when(F.col("known.key") == F.col("key"), F.col("known.last"))
     found = found.select("row.*", *[held[c].alias(c) for c in columns])
-    kinds = dict(right.dtypes)
-    return found.union(bare.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in columns]))
+    return found.union(missing)
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, at: str, begin: str, end: str, width: float) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources import durable
-from .ranges import carried, quoted, ranged
+from ..functions import micros
+from .ranges import RANGE_ROWS, carried, largest_group, quoted, ranged
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -18,16 +19,22 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def gap_sessions(df: DataFrame, key: str, time: str, gap_seconds: int) -> DataFrame:
+def gap_sessions(df: DataFrame, key: str, time: str, gap_seconds: int, most: int = RANGE_ROWS) -> DataFrame:
     """``df`` with ``session``, a key's number from 0 of the run of rows without a longer gap.
 
-    Rows are sorted by (key, time) into ranges of bounded size, which a key with a large
-    share of the rows spans many of. A range's first row looks back to the end of
+    Keys of at most ``most`` rows go through a plain window. Where one has more, rows are sorted by (key, time) into ranges of
+    bounded size, which such a key spans many of. A range's first row looks back to the end of
     the ranges before it, and a key's sessions are summed over its ranges from
     one row a key and range. Rows whose time is null are in a key's session 0.
     """
-    rows = df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"), F.col(key).alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"))
-    rows = ranged(rows, ["key", "at"])
+    rows = df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"), F.col(quoted(key)).alias("key"), micros(time, dict(df.dtypes)[time]).alias("at"))
+    largest, total = largest_group(df, [key])
+    if largest <= most:
+        own = W.partitionBy("key").orderBy("at")
+        late = F.coalesce(F.col("at") - F.lag("at").over(own) > gap_seconds * 1_000_000, F.lit(False))
+        until = own.rangeBetween(W.unboundedPreceding, W.currentRow)
+        return rows.withColumn("fresh", late.cast("long")).select("row.*", F.sum("fresh").over(until).alias("session"))
+    rows = ranged(rows, ["key", "at"], most, total)
     own = W.partitionBy("range").orderBy("key", "at")
     ends = carried(rows, F.max_by(F.struct("key", "at"), F.struct(F.col("key").isNotNull(), "key", "at")), rows)
     previous = F.coalesce(F.lag(F.struct("key", "at")).over(own), F.col("carried"))

@@ -1,16 +1,20 @@
 """Functions of one's own: Python and pandas functions, table functions, SQL functions, grouped maps.
 
-They are for what the built-in functions can't say; each group that goes to
-Python whole is bounded by its nature (the lines of one order).
+Most show how a function of one's own is made and used; built-in functions could
+say what these say, and their SQL does. ``thinned_events`` is for what they can't. Each group
+that goes to Python whole is bounded by its nature (the lines of one order); a table function gets its rows one by one.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
+from ..functions import micros
 from ..sources import load
 
 
@@ -63,6 +67,38 @@ def table_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT p_partkey, w.word, w.place FROM parquet.`{sf_dir}/part.parquet`, LATERAL quern_name_words(p_name) w")
 
 
+class Thinned:
+    """Table function: rows of an ordered partition of which each is at least ``gap`` seconds after the last one kept.
+
+    What is kept depends on all that was kept before, which no window can say. The columns that are handed
+    on are an argument, and the schema follows from it. State is one number, whatever the partition's size.
+    """
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, gap: AnalyzeArgument, columns: AnalyzeArgument) -> AnalyzeResult:
+        if not rows.isTable or "at" not in rows.dataType.names:
+            raise ValueError("rows is to be a table with a column at, in microseconds")
+        names = [c.strip() for c in columns.value.split(",")]
+        fields = [rows.dataType[n] for n in names]
+        return AnalyzeResult(StructType([*fields, StructField("place", LongType())]), partitionBy=[PartitioningColumn("user_id")], orderBy=[OrderingColumn("at"), OrderingColumn("event_id")])
+
+    def __init__(self) -> None:
+        self.kept, self.place = None, 0
+
+    def eval(self, row: Row, gap: int, columns: str):
+        if self.kept is None or row["at"] - self.kept >= gap * 1_000_000:
+            yield (*[row[c.strip()] for c in columns.split(",")], self.place)
+            self.kept, self.place = row["at"], self.place + 1
+
+
+def thinned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each user's events, the first, and then each next one at least six hours after the last one kept."""
+    events = load(spark, sf_dir, "events")
+    events.select("event_id", "user_id", micros("ts", dict(events.dtypes)["ts"]).alias("at")).createOrReplaceTempView("quern_thinned_input")
+    spark.udtf.register("quern_thinned", F.udtf(Thinned))
+    return spark.sql("SELECT user_id, event_id, place FROM quern_thinned(TABLE(quern_thinned_input), 21600, 'user_id, event_id')")
+
+
 def sql_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A function defined in SQL, which Spark writes into the plan."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION quern_cents(amount DOUBLE) RETURNS BIGINT RETURN CAST(round(amount * 100) AS BIGINT)")
@@ -99,6 +135,7 @@ QUERIES = {
     "aggregate_udf": aggregate_udf,
     "window_udf": window_udf,
     "table_udf": table_udf,
+    "thinned_events": thinned_events,
     "sql_udf": sql_udf,
     "grouped_map": grouped_map,
     "cogrouped_map": cogrouped_map,
@@ -112,6 +149,12 @@ SQL = {
     "window_udf": "SELECT l_orderkey, l_linenumber, l_partkey, max(l_quantity) OVER w - min(l_quantity) OVER w AS span FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)",
     "table_udf": """
         SELECT p_partkey, unnest(s) AS word, unnest(range(len(s)))::INT AS place FROM (SELECT p_partkey, string_split(p_name, ' ') AS s FROM part)""",
+    "thinned_events": """
+        WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS at FROM events),
+             nxt AS (SELECT a.user_id, a.event_id, min((b.at, b.event_id)) AS b FROM e a JOIN e b ON a.user_id = b.user_id AND b.at >= a.at + 21600000000 GROUP BY ALL),
+             kept AS (SELECT user_id, min((at, event_id))[2] AS event_id, 0::BIGINT AS place FROM e GROUP BY user_id
+                      UNION ALL SELECT k.user_id, n.b[2], place + 1 FROM kept k JOIN nxt n ON n.event_id = k.event_id)
+        SELECT user_id, event_id, place FROM kept""",
     "sql_udf": f"SELECT l_suppkey, sum({_CENTS})::BIGINT AS cents FROM lineitem GROUP BY 1",
     "grouped_map": f"SELECT l_orderkey, l_linenumber, {_CENTS} / sum({_CENTS}) OVER (PARTITION BY l_orderkey)::DOUBLE AS share FROM lineitem",
     "cogrouped_map": f"""

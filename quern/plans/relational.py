@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exact_avg, exact_sum, money, net_price
-from ..operators import interval_join, top_k
-from ..sources import durable, load, read, save, scratch
+from ..operators import interval_join, reachable, top_k
+from ..sources import durable, load, read, save, save_bucketed, scratch
 
 #: DuckDB's form of ``net_price``.
 _NET = "(l_extendedprice::DECIMAL(18,2) * (1::DECIMAL(3,2) - l_discount::DECIMAL(3,2)))"
@@ -187,6 +188,37 @@ SHARED = {
     ),
 }
 
+def suppliers_within_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers that the first supplier of each nation reaches over parts that two suppliers both sold at a large discount."""
+    suppliers = load(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("source"))
+    sold = load(spark, sf_dir, "lineitem").where("l_quantity >= 48 and l_discount >= 0.09").select("l_suppkey", "l_partkey").distinct()
+    # A part's suppliers are linked through the part, as a number below zero, so that a part of many suppliers is many links, not many pairs.
+    part = -F.col("l_partkey") - 1
+    links = sold.select(F.col("l_suppkey").alias("a"), part.alias("b")).union(sold.select(part.alias("a"), F.col("l_suppkey").alias("b")))
+    found = reachable(suppliers, links, "source", "a", "b")
+    return found.where("node >= 0").select("source", F.col("node").alias("reached"), (F.col("hops") / 2).cast("int").alias("hops"))
+
+
+def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and lines as tables bucketed and sorted by order: joined and summed by order without an exchange."""
+    name = f"quern_{uuid.uuid4().hex}"
+    tables = {f"{name}_orders": ("orders", "o_orderkey", ["o_orderkey", "o_orderpriority"]), f"{name}_lines": ("lineitem", "l_orderkey", ["l_orderkey", "l_quantity"])}
+    try:
+        for table, (source, key, columns) in tables.items():
+            save_bucketed(load(spark, sf_dir, source).select(*columns), table, [key], buckets=8)
+        return durable(bucketed_sums(spark, *tables))
+    finally:
+        for table in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def bucketed_sums(spark: SparkSession, orders: str, lines: str) -> DataFrame:
+    """Quantities by order, from two tables that are bucketed by it."""
+    o, li = spark.table(orders), spark.table(lines)
+    joined = o.join(li.hint("merge"), o["o_orderkey"] == li["l_orderkey"])
+    return joined.groupBy("o_orderkey", "o_orderpriority").agg(exact_sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     "pricing_summary": pricing_summary,
     "revenue_by_nation": revenue_by_nation,
@@ -203,6 +235,8 @@ QUERIES = {
     "top_orders": top_orders,
     "format_round_trips": format_round_trips,
     "partitioned_orders": partitioned_orders,
+    "suppliers_within_reach": suppliers_within_reach,
+    "bucketed_join": bucketed_join,
 } | {name: _both(sql, *tables) for name, (sql, tables) in SHARED.items()}
 
 SQL = {
@@ -253,4 +287,12 @@ SQL = {
         UNION ALL SELECT 'text', NULL, s_name, NULL, NULL FROM supplier""",
     "partitioned_orders": """
         SELECT o_orderpriority, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""",
+    "suppliers_within_reach": """
+        WITH RECURSIVE sold AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity >= 48 AND l_discount >= 0.09),
+             links AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM sold a JOIN sold b USING (l_partkey)),
+             r AS (SELECT min(s_suppkey) AS source, min(s_suppkey) AS reached, 0 AS hops FROM supplier GROUP BY s_nationkey
+                   UNION SELECT source, b, hops + 1 FROM r JOIN links ON a = reached WHERE hops < 60)
+        SELECT source, reached, min(hops)::INT AS hops FROM r GROUP BY ALL""",
+    "bucketed_join": """
+        SELECT o_orderkey, o_orderpriority, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS quantity, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL""",
 } | {name: sql for name, (sql, _) in SHARED.items()}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money, population_skewness
-from ..sources import load
+from ..operators import modes, quantiles, sketches
+from ..sources import durable, load, read, save, scratch
 
 
 def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,13 +100,9 @@ def _power(x, k: int):
 
 
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = load(spark, sf_dir, "orders")
-    return orders.groupBy("o_orderpriority").agg(
-        F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY o_totalprice)").alias("p25"),
-        F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY o_totalprice)").alias("p90"),
-        F.min("o_totalprice").alias("least"),
-        F.max("o_totalprice").alias("most"),
-    )
+    """Exact percentiles of a few large groups."""
+    ends = [F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("most")]
+    return quantiles(load(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", {"p25": ("disc", 0.25), "p90": ("disc", 0.9)}, ends)
 
 
 def approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +110,25 @@ def approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
 
 
+def daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users and values of each span of seven days, from stored sketches of single days: an estimate without another look at the events.
+
+    ``returning`` are users of both the span and the one before it, ``lost`` those of the one before alone.
+    """
+    events = load(spark, sf_dir, "events")
+    with scratch(spark) as place:
+        save(sketches.sketched(events, [F.to_date("ts").alias("day")], "user_id", "value"), place)
+        days = read(spark, place)
+        week = F.floor(F.datediff("day", F.lit("2024-01-01").cast("date")) / 7).cast("int").alias("week")
+        weeks = durable(sketches.united(days, [week]))
+    before = weeks.select((F.col("week") + 1).alias("week"), F.col("theta").alias("theta_before"))
+    both = weeks.join(before, "week", "left")
+    return both.select(
+        "week", "n", sketches.distinct_items("hll").alias("users"), sketches.quantile("kll", 0.5).alias("median_value"),
+        sketches.common_items("theta", "theta_before").alias("returning"), sketches.items_only_in("theta_before", "theta").alias("lost"),
+    )
+
+
 def text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """String functions that agree on ASCII."""
     cust = load(spark, sf_dir, "customer")
@@ -179,11 +195,10 @@ def spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def middles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median, interpolated percentiles and the mode (of equally frequent values the least)."""
     lines = load(spark, sf_dir, "lineitem")
-    return lines.groupBy("l_returnflag").agg(
-        F.median("l_quantity").alias("middle"),
-        F.round(F.expr("percentile_cont(0.9) WITHIN GROUP (ORDER BY l_extendedprice)"), 6).alias("p90"),
-        F.mode("l_quantity", True).alias("commonest"),
-    )
+    middle = quantiles(lines, ["l_returnflag"], "l_quantity", {"middle": ("cont", 0.5)})
+    p90 = quantiles(lines, ["l_returnflag"], "l_extendedprice", {"p90": ("cont", 0.9)})
+    commonest = modes(lines, ["l_returnflag"], "l_quantity", "commonest")
+    return middle.join(p90, "l_returnflag").join(commonest, "l_returnflag").select("l_returnflag", "middle", F.round("p90", 6).alias("p90"), "commonest")
 
 
 def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,6 +245,7 @@ QUERIES = {
     "statistics": statistics,
     "percentiles": percentiles,
     "approximate_distinct": approximate_distinct,
+    "daily_sketches": daily_sketches,
 }
 
 SQL = {

@@ -2,54 +2,45 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import streaming
-from ..functions import money
-from ..operators import as_of_join, gap_sessions
-from ..sources import durable, load, save, scratch
+from ..functions import micros, money, wall_clock
+from ..operators import as_of_join, framed, gap_sessions, placed, ranked
+from ..sources import durable, load, scratch
+from ..streaming import stateful
 
 
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = W.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
-    by_segment = W.partitionBy("c_nationkey").orderBy("c_mktsegment")
-    return load(spark, sf_dir, "customer").select(
-        "c_custkey",
-        F.row_number().over(own).alias("row_no"),
-        F.rank().over(by_segment).alias("rank_no"),
-        F.dense_rank().over(by_segment).alias("dense_no"),
-        F.ntile(4).over(own).alias("quartile"),
-        F.percent_rank().over(by_segment).alias("share"),
-        F.cume_dist().over(by_segment).alias("cumulated"),
-    )
+    """Customers ranked within their nations by balance and by segment; segments are large ties."""
+    customers = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    by_balance = ranked(customers, ["c_nationkey"], [("c_acctbal", "desc"), "c_custkey"], {"row_no": "row_number", "quartile": ("ntile", 4)})
+    both = ranked(by_balance, ["c_nationkey"], ["c_mktsegment"], {"rank_no": "rank", "dense_no": "dense_rank", "share": "percent_rank", "cumulated": "cume_dist"})
+    return both.select("c_custkey", *[F.col(c).cast("int").alias(c) for c in ("row_no", "rank_no", "dense_no", "quartile")], "share", "cumulated")
 
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = W.partitionBy("user_id").orderBy("ts", "event_id")
-    whole = own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return load(spark, sf_dir, "events").select(
-        "event_id",
-        F.lag("event_type").over(own).alias("before"),
-        F.lead("event_type", 2).over(own).alias("after_next"),
-        F.first("event_id").over(whole).alias("first_event"),
-        F.last("event_id").over(whole).alias("last_event"),
-        F.nth_value("event_id", 3).over(whole).alias("third_event"),
-    )
+    """Events next to each one of its user, and the first, last and third one of the user."""
+    events, order = load(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type"), ["ts", "event_id"]
+    near = {"before": lambda w: F.lag("event_type").over(w), "after_next": lambda w: F.lead("event_type", 2).over(w)}
+    ends = {"first_event": ("event_id", 1), "last_event": ("event_id", -1), "third_event": ("event_id", 3)}
+    both = placed(framed(events, ["user_id"], order, near, (-1, 2)), ["user_id"], order, ends)
+    return both.select("event_id", *near, *ends)
 
 
 def moving_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-3, 0)
-    hours = W.partitionBy("user_id").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-86400, 0)
-    return load(spark, sf_dir, "events").select(
-        "event_id",
-        F.sum(money("value", 6)).over(rows).cast("double").alias("last_four"),
-        F.count(F.lit(1)).over(hours).alias("last_day"),
-    )
+    """A frame of rows and a frame of seconds over each user's events."""
+    events = load(spark, sf_dir, "events")
+    events = events.select("event_id", "user_id", "ts", "value", F.floor(micros("ts", dict(events.dtypes)["ts"]) / 1_000_000).alias("second"))
+    last_four = {"last_four": lambda w: F.sum(money("value", 6)).over(w.rowsBetween(-3, 0)).cast("double")}
+    last_day = {"last_day": lambda w: F.count(F.lit(1)).over(w.rangeBetween(-86400, 0))}
+    both = framed(framed(events, ["user_id"], ["ts", "event_id"], last_four, (-3, 0)), ["user_id"], ["second"], last_day, (-86400, 0), by_value=True)
+    return both.select("event_id", "last_four", "last_day")
 
 
 def as_of_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,18 +69,18 @@ def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 Build = Callable[[DataFrame], DataFrame]
 
 
-def _source(spark: SparkSession, folder: str, sf_dir: str, files: str = "*.parquet") -> DataFrame:
-    return streaming.timed(streaming.arriving(spark, folder, load(spark, sf_dir, "events").schema, files))
-
-
 def _streamed(spark: SparkSession, sf_dir: str, build: Build, mode: str = "append") -> DataFrame:
-    """Run a streaming query over the events table and give what it wrote; its state is deleted."""
+    """Run a streaming query over the events table and give what it wrote; its state is deleted.
+
+    The table may be a file or a directory of files: the pattern matches its name alone, and a stream takes either from it.
+    """
     with scratch(spark) as place:
-        return durable(streaming.drained(build(_source(spark, sf_dir, sf_dir, "events.parquet")), mode, f"{place}/state", f"{place}/out"))
+        stream = streaming.timed(streaming.arriving(spark, f"{sf_dir}/events.parque[t]", load(spark, sf_dir, "events").schema))
+        return durable(streaming.drained(build(stream), mode, f"{place}/state", f"{place}/out"))
 
 
 def _wall_clock(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+    return df.withColumns({c: wall_clock(c) for c in columns})
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +146,42 @@ def stream_purchases_after_clicks(spark: SparkSession, sf_dir: str) -> DataFrame
     return _streamed(spark, sf_dir, build)
 
 
+def stream_clicks_with_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stream-stream left outer join: a click without a purchase of its user within an hour is given out when the watermark shows that none can come."""
+
+    def build(stream: DataFrame) -> DataFrame:
+        clicks = stream.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), F.col("user_id").alias("clicker"), F.col("ts").alias("clicked"))
+        bought = stream.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", "ts")
+        near = (F.col("user_id") == F.col("clicker")) & F.col("ts").between(F.col("clicked"), F.col("clicked") + F.expr("INTERVAL 1 HOUR"))
+        return clicks.join(bought, near, "left_outer").select("click_id", "purchase_id")
+
+    return _streamed(spark, sf_dir, build)
+
+
+def stream_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits of users (events less than two hours apart), by own state with timers, over two runs of which the second takes up the first one's state.
+
+    The first run has the earlier half of the events; visits that are open at its end go on in the second.
+    """
+    events = load(spark, sf_dir, "events")
+    middle = events.agg(F.percentile_approx(micros("ts", dict(events.dtypes)["ts"]), 0.5)).first()[0] or 0
+    halves = events.where(micros("ts", dict(events.dtypes)["ts"]) < middle), events.where(micros("ts", dict(events.dtypes)["ts"]) >= middle)
+    with streaming.store(spark, stateful.ROCKS):
+        told = _in_two_runs(spark, sf_dir, halves, lambda s: stateful.visits(s, dt.timedelta(hours=2)))
+    return told.select("user_id", "begin", "last", "n", "place")
+
+
+def stream_daily_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts by type in update mode, kept as a keyed table over two runs; the second batch changes days of the first."""
+    with scratch(spark) as place:
+        table = stateful.KeyedTable(f"{place}/table", ["window_start", "event_type"])
+        for half in _halves(spark, sf_dir):
+            half.write.mode("append").parquet(f"{place}/in")
+            stream = streaming.arriving(spark, f"{place}/in", half.schema, files_a_trigger=1 << 30)
+            stateful.kept(streaming.window_counts(streaming.timed(stream, delay="1000 days"), "1 day", None, "event_type"), table, f"{place}/state")
+        return durable(_wall_clock(table.rows(spark), "window_start"))
+
+
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events so far and their largest value, kept as one's own state over two runs; the last word counts."""
 
@@ -187,6 +214,9 @@ QUERIES = {
     "stream_late_rows": stream_late_rows,
     "stream_repeats": stream_repeats,
     "stream_purchases_after_clicks": stream_purchases_after_clicks,
+    "stream_clicks_with_purchases": stream_clicks_with_purchases,
+    "stream_visits": stream_visits,
+    "stream_daily_table": stream_daily_table,
     "stream_state": stream_state,
 }
 
@@ -239,5 +269,17 @@ SQL = {
     "stream_purchases_after_clicks": """
         SELECT c.event_id AS click_id, p.event_id AS purchase_id FROM events c JOIN events p
              ON c.user_id = p.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 1 HOUR WHERE c.event_type = 'click' AND p.event_type = 'purchase'""",
+    "stream_clicks_with_purchases": f"""
+        SELECT c.event_id AS click_id, p.event_id AS purchase_id
+        FROM (SELECT * FROM events WHERE event_type = 'click') c LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p
+             ON c.user_id = p.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 1 HOUR
+        WHERE p.event_id IS NOT NULL OR date_trunc('millisecond', c.ts) + INTERVAL 1 HOUR < date_trunc('millisecond', {_MARK})""",
+    "stream_visits": f"""
+        WITH m AS (SELECT user_id, floor(epoch_us(ts) / 1000)::BIGINT AS at FROM events),
+             g AS (SELECT *, coalesce((at - lag(at) OVER w >= 7200000)::INT, 0) AS fresh FROM m WINDOW w AS (PARTITION BY user_id ORDER BY at)),
+             s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY at) AS place FROM g)
+        SELECT user_id, min(at) AS begin, max(at) AS last, count(*) AS n, place::BIGINT AS place FROM s GROUP BY user_id, place
+        HAVING max(at) + 7200000 <= (SELECT floor(epoch_us({_MARK}) / 1000) )""",
+    "stream_daily_table": _DAILY,
     "stream_state": "SELECT user_id, count(*) AS n, max(value) AS most FROM events GROUP BY 1",
 }

@@ -42,6 +42,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def exists(spark: SparkSession, place: str) -> bool:
+    """Whether there is a file or folder of this name, in whatever store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A new folder in the shared one, deleted at the end of the block; cut what is to outlive it with ``durable``."""
@@ -68,6 +74,14 @@ def save(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str
     writer.save(path)
 
 
+def save_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int) -> None:
+    """Write ``df`` as a table of the catalogue, bucketed and sorted by ``keys``, with one file a bucket.
+
+    Tables with the same number of buckets are joined and grouped by their keys without an exchange.
+    """
+    df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+
+
 def read(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
     """Read what ``save`` wrote; plain formats need the schema, so that none is inferred by a scan."""
     if fmt in PLAIN and schema is None:

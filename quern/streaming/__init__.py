@@ -3,20 +3,39 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import instant
+
+
+@contextmanager
+def store(spark: SparkSession, provider: str) -> Iterator[None]:
+    """Streams that start within the block keep their state by this provider."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
 
 def arriving(spark: SparkSession, folder: str, schema: StructType, files: str = "*.parquet", files_a_trigger: int = 1) -> DataFrame:
-    """A stream of the Parquet files in ``folder`` whose names match ``files``."""
+    """A stream of the Parquet files in ``folder`` (which may be a pattern, and then match files too) whose names match ``files``."""
     return spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", files_a_trigger).parquet(folder)
 
 
 def timed(stream: DataFrame, column: str = "ts", delay: str = "1 day") -> DataFrame:
-    """The stream with its wall-clock ``column`` as an instant (session time zone) and a watermark on it."""
-    return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
+    """The stream with its ``column`` as an instant (a wall clock: in UTC, whatever the session's zone) and a watermark on it."""
+    return stream.withColumn(column, instant(column, dict(stream.dtypes)[column])).withWatermark(column, delay)
 
 
 def drained(stream: DataFrame, mode: str, checkpoint: str, out: str) -> DataFrame:
