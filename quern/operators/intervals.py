@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from .ranges import quoted, unused
 
-#: Levels beyond which lengths are no longer told apart: 2^-1000 to 2^1000 covers doubles that matter.
-_LIMIT = 1000
+#: Levels beyond which lengths are no longer told apart, and the largest double: infinite ends are taken for it.
+_LIMIT, _MOST = 1023, 1.7976931348623157e308
 
 
 def _level(begin: Column, end: Column) -> Column:
     """The least power of two that is no shorter than the interval, as an exponent."""
-    length = (end - begin).cast("double")
-    return F.greatest(F.lit(-_LIMIT), F.least(F.lit(_LIMIT), F.ceil(F.log2(length)))).cast("int")
+    length = F.least(end.cast("double") - begin.cast("double"), F.lit(_MOST))
+    return F.ceil(F.greatest(F.lit(-float(_LIMIT)), F.least(F.lit(float(_LIMIT)), F.log2(length)))).cast("int")
 
 
 def _cell(at: Column, level: Column) -> Column:
-    return F.floor(at.cast("double") / F.pow(F.lit(2.0), level.cast("double")))
+    finite = F.greatest(F.lit(-_MOST), F.least(F.lit(_MOST), at.cast("double")))
+    return F.floor(finite / F.pow(F.lit(2.0), level.cast("double")))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, begin: tuple[str, str], end: tuple[str, str], keys: list[str] = ()) -> DataFrame:
@@ -30,7 +31,7 @@ def overlap_join(left: DataFrame, right: DataFrame, begin: tuple[str, str], end:
     levels there are, some twenty, and not on how long it is. A pair counts in the cell where its overlap begins,
     so it comes out once. Of the rows that meet in a cell, a fair share overlap, as the longer one fills a quarter of its cells at least.
 
-    Both sides' levels are collected: at most ``2 * 1000 + 1`` small numbers. Empty and reversed intervals, and those with a null
+    Both sides' levels are collected: at most 2,047 small numbers. Empty and reversed intervals, and those with a null
     or NaN end, overlap nothing; null keys match nothing. Ends are compared as they are; their cells are those of doubles. Columns of
     ``keys`` come once, other names of the two sides should differ.
     """

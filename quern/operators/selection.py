@@ -128,8 +128,11 @@ def _narrowed(rows: DataFrame, state: DataFrame, j: range, groups: int, most: in
     for i in j:
         # Two parts to either side of the rank's share of the bracket.
         part = F.floor((F.col(f"k{i}") - F.col(f"below{i}")) / F.nullif(F.col(f"held{i}"), F.lit(0)) * PARTS).cast("int")
-        ends = {f"lo{i}": F.get(f"s{i}", F.greatest(part - 2, F.lit(0))), f"hi{i}": F.get(f"s{i}", F.least(part + 3, F.lit(PARTS)))}
-        moved = moved.withColumns({c: F.when(narrow[i] & F.col(f"s{i}").isNotNull(), e).otherwise(F.col(c)) for c, e in ends.items()})
+        low, high, half = F.get(f"s{i}", F.greatest(part - 2, F.lit(0))), F.get(f"s{i}", F.least(part + 3, F.lit(PARTS))), F.get(f"s{i}", F.lit(PARTS // 2))
+        # A bracket that is as wide as before becomes its lower half, or its least value alone; the next count tells the side.
+        same = (low <= F.col(f"lo{i}")) & (high >= F.col(f"hi{i}"))
+        high = F.when(~same, high).when(half < F.col(f"hi{i}"), half).otherwise(F.col(f"lo{i}"))
+        moved = moved.withColumns({c: F.when(narrow[i] & F.col(f"s{i}").isNotNull(), e).otherwise(F.col(c)) for c, e in {f"lo{i}": low, f"hi{i}": high}.items()})
     return durable(moved.drop(*[f"s{i}" for i in j]))
 
 
