@@ -150,9 +150,9 @@ SQL = {
     "table_udf": """
         SELECT p_partkey, unnest(s) AS word, unnest(range(len(s)))::INT AS place FROM (SELECT p_partkey, string_split(p_name, ' ') AS s FROM part)""",
     "thinned_events": """
-        WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS at FROM events),
-             nxt AS (SELECT a.user_id, a.event_id, min((b.at, b.event_id)) AS b FROM e a JOIN e b ON a.user_id = b.user_id AND b.at >= a.at + 21600000000 GROUP BY ALL),
-             kept AS (SELECT user_id, min((at, event_id))[2] AS event_id, 0::BIGINT AS place FROM e GROUP BY user_id
+        WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS tick FROM events),
+             nxt AS (SELECT a.user_id, a.event_id, min((b.tick, b.event_id)) AS b FROM e a JOIN e b ON a.user_id = b.user_id AND b.tick >= a.tick + 21600000000 GROUP BY ALL),
+             kept AS (SELECT user_id, min((tick, event_id))[2] AS event_id, 0::BIGINT AS place FROM e GROUP BY user_id
                       UNION ALL SELECT k.user_id, n.b[2], place + 1 FROM kept k JOIN nxt n ON n.event_id = k.event_id)
         SELECT user_id, event_id, place FROM kept""",
     "sql_udf": f"SELECT l_suppkey, sum({_CENTS})::BIGINT AS cents FROM lineitem GROUP BY 1",

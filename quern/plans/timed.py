@@ -275,11 +275,11 @@ SQL = {
              ON c.user_id = p.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 1 HOUR
         WHERE p.event_id IS NOT NULL OR date_trunc('millisecond', c.ts) + INTERVAL 1 HOUR < date_trunc('millisecond', {_MARK})""",
     "stream_visits": f"""
-        WITH m AS (SELECT user_id, floor(epoch_us(ts) / 1000)::BIGINT AS at FROM events),
-             g AS (SELECT *, coalesce((at - lag(at) OVER w >= 7200000)::INT, 0) AS fresh FROM m WINDOW w AS (PARTITION BY user_id ORDER BY at)),
-             s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY at) AS place FROM g)
-        SELECT user_id, min(at) AS begin, max(at) AS last, count(*) AS n, place::BIGINT AS place FROM s GROUP BY user_id, place
-        HAVING max(at) + 7200000 <= (SELECT floor(epoch_us({_MARK}) / 1000) )""",
+        WITH m AS (SELECT user_id, floor(epoch_us(ts) / 1000)::BIGINT AS tick FROM events),
+             g AS (SELECT *, coalesce((tick - lag(tick) OVER w >= 7200000)::INT, 0) AS fresh FROM m WINDOW w AS (PARTITION BY user_id ORDER BY tick)),
+             s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY tick) AS place FROM g)
+        SELECT user_id, min(tick) AS begin, max(tick) AS last, count(*) AS n, place::BIGINT AS place FROM s GROUP BY user_id, place
+        HAVING max(tick) + 7200000 <= (SELECT floor(epoch_us({_MARK}) / 1000) )""",
     "stream_daily_table": _DAILY,
     "stream_state": "SELECT user_id, count(*) AS n, max(value) AS most FROM events GROUP BY 1",
 }

@@ -22,18 +22,17 @@ class Visits(StatefulProcessor):
 
     Input rows have the key and ``at`` in milliseconds. State: the open run's begin, end and number of rows, and a list of
     rows that came out of order, kept until the watermark shows that none can come before them. A timer
-    stands at the end of the open run; others are deleted, so that a key has one at most. With ``ttl`` (milliseconds of
-    processing time), a key's number of told runs is forgotten after it.
+    stands at the end of the open run; others are deleted, so that a key has one at most. A map counts what was told.
     """
 
-    def __init__(self, gap: int, ttl: int | None = None):
-        self.gap, self.ttl = gap, ttl
+    def __init__(self, gap: int):
+        self.gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.run = handle.getValueState("run", "begin long, last long, n long")
         self.waiting = handle.getListState("waiting", "at long")
-        self.told = handle.getMapState("told", "kind string", "n long", self.ttl)
+        self.told = handle.getMapState("told", "kind string", "n long")
 
     def _tell(self, key: tuple, run: tuple) -> pd.DataFrame:
         before = self.told.getValue(("runs",))[0] if self.told.containsKey(("runs",)) else 0
@@ -85,16 +84,39 @@ class Visits(StatefulProcessor):
         pass
 
 
-def visits(stream: DataFrame, gap: dt.timedelta, ttl: dt.timedelta | None = None) -> DataFrame:
+def visits(stream: DataFrame, gap: dt.timedelta) -> DataFrame:
     """Runs of each user's rows of a stream with an instant ``ts`` and a watermark: ``user_id``, ``begin``, ``last`` (milliseconds), ``n``, ``place``.
 
     A run is told once, when the watermark has passed its last row by ``gap``, in whatever order its rows came within the watermark.
-    ``place`` counts a user's runs from 0 (again from 0 when ``ttl`` has passed since the last). Needs the RocksDB state store.
+    ``place`` counts a user's runs from 0. Needs the RocksDB state store.
     """
-    ms = lambda d: round(d.total_seconds() * 1000)
     keyed = stream.select("user_id", "ts", F.unix_millis("ts").alias("at"))
     shape = "user_id long, begin long, last long, n long, place long"
-    return keyed.groupBy("user_id").transformWithStateInPandas(Visits(ms(gap), None if ttl is None else ms(ttl)), shape, "append", "eventTime")
+    return keyed.groupBy("user_id").transformWithStateInPandas(Visits(round(gap.total_seconds() * 1000)), shape, "append", "eventTime")
+
+
+class Seen(StatefulProcessor):
+    """Keys that have not come for a while: state that expires, by processing time, when nothing has renewed it for ``ttl`` milliseconds."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n long", self.ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known, n = self.seen.exists(), sum(len(frame) for frame in rows)
+        self.seen.update((n,))
+        if not known:
+            yield pd.DataFrame({"user_id": [key[0]]})
+
+    def close(self) -> None:
+        pass
+
+
+def returning(stream: DataFrame, ttl: dt.timedelta) -> DataFrame:
+    """``user_id`` of each user of the stream that comes for the first time, or again after ``ttl`` of processing time. Needs the RocksDB state store."""
+    return stream.groupBy("user_id").transformWithStateInPandas(Seen(round(ttl.total_seconds() * 1000)), "user_id long", "append", "processingTime")
 
 
 class KeyedTable:
