@@ -13,7 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..functions import quoted_columns
 from ..sources import durable, exists
 
-#: The state store that timers, lists and expiry need.
+#: The state store that timers, lists and maps need.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -95,30 +95,6 @@ def visits(stream: DataFrame, gap: dt.timedelta) -> DataFrame:
     return keyed.groupBy("user_id").transformWithStateInPandas(Visits(round(gap.total_seconds() * 1000)), shape, "append", "eventTime")
 
 
-class Seen(StatefulProcessor):
-    """Keys that have not come for a while: state that expires, by processing time, when nothing has renewed it for ``ttl`` milliseconds."""
-
-    def __init__(self, ttl: int):
-        self.ttl = ttl
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n long", self.ttl)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known, n = self.seen.exists(), sum(len(frame) for frame in rows)
-        self.seen.update((n,))
-        if not known:
-            yield pd.DataFrame({"user_id": [key[0]]})
-
-    def close(self) -> None:
-        pass
-
-
-def returning(stream: DataFrame, ttl: dt.timedelta) -> DataFrame:
-    """``user_id`` of each user of the stream that comes for the first time, or again after ``ttl`` of processing time. Needs the RocksDB state store."""
-    return stream.groupBy("user_id").transformWithStateInPandas(Seen(round(ttl.total_seconds() * 1000)), "user_id long", "append", "processingTime")
-
-
 class KeyedTable:
     """A Parquet table with a row for each key, kept up to date by batches.
 

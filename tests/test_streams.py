@@ -96,13 +96,6 @@ def test_visits_are_told_by_timers_and_state_outlives_a_run(spark, tmp_path):
     assert told[3] == sorted([*told[1], (1, ms(clock(1, 8)), ms(clock(1, 12, 30)), 5, 0), (3, ms(clock(1, 10, 50)), ms(clock(1, 10, 50)), 1, 0)])
 
 
-@pytest.mark.parametrize(("ttl", "times"), [(dt.timedelta(hours=9), 1), (dt.timedelta(milliseconds=1), 3)])
-def test_what_was_seen_is_forgotten_after_a_while(spark, tmp_path, ttl, times):
-    with streaming.store(spark, stateful.ROCKS):
-        told = arrive(spark, tmp_path, [[(1, clock(1, 8)), (1, clock(1, 9))], [(1, clock(1, 8)), (2, clock(1, 8))], [(1, clock(1, 9))]], lambda s: stateful.returning(s, ttl))
-    assert told[-1] == sorted([(1,)] * times + [(2,)])
-
-
 def test_the_outer_join_waits_for_the_watermark(spark, tmp_path):
     def build(stream):
         left = stream.where("user_id > 0").select("user_id", F.col("ts").alias("at"))
