@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,16 +28,6 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
-def collected(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of what has been cut, by a collection of the driver's garbage.
-
-    Without it they stay until the driver happens to run out of memory. Called
-    after a cut behind which lies a shuffle of whole texts.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def released() -> None:
     """Give a Python worker's freed memory back to the system.
 

@@ -535,7 +535,8 @@ def score_texts(docs: DataFrame, *, depth: int = DEPTH) -> DataFrame:
     if groups > 1:
         kept = stats.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("long"))
         counted = durable(kept.groupBy("group", "part", "kind").applyInArrow(lambda k, rows: _added_up(k, rows.drop_columns(["group"]), parts), _PACK))
-        per = clamp_partitions(counted.agg(F.sum("distinct")).first()[0] or 0, PART_ITEMS * parts)
+        # A group writes at most as many rows as its blocks did, so that rows grow with the input; beyond, parts grow.
+        per = min(GROUP_BLOCKS, clamp_partitions(counted.agg(F.sum("distinct")).first()[0] or 0, PART_ITEMS * parts))
         counted = durable(counted.mapInArrow(partial(_parted, per=per), _PACK)) if per > 1 else counted
     words = durable(grouped(counted.where(F.col("kind") == WORDS), "part", _total_words, _PACK))
     distinct, tokens = (x or 0 for x in words.agg(F.sum("distinct"), F.sum("total")).first())

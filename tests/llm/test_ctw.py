@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import ctw
+from quern.llm.common import clamp_partitions
 from tests.llm import cases
 
 
@@ -68,13 +69,38 @@ def scored(spark, rows, depth=ctw.DEPTH):
     return ctw.score_texts(docs.repartition(3), depth=depth).collect()
 
 
+def small_blocks(monkeypatch, size: int) -> list[int]:
+    """Let the workers, which have the module of their own, cut blocks of ``size`` bytes; gives the numbers of groups that follow."""
+
+    def cut(batches):
+        from quern.llm import ctw as own
+
+        before, own.BLOCK_BYTES = own.BLOCK_BYTES, size
+        try:
+            yield from own._blocks(batches)
+        finally:
+            own.BLOCK_BYTES = before
+
+    groups: list[int] = []
+
+    def counted(total, each, least=1):
+        n = clamp_partitions(total, each, least)
+        if each == ctw.GROUP_BLOCKS:
+            groups.append(n)
+        return n
+
+    monkeypatch.setattr(ctw, "_blocks", cut)
+    monkeypatch.setattr(ctw, "clamp_partitions", counted)
+    return groups
+
+
 @pytest.mark.parametrize(
     ("depth", "block", "part", "blocks", "items"),
     [(5, 1 << 24, 1 << 24, 256, 1 << 22), (3, 300, 200, 256, 1 << 22), (4, 1 << 24, 100, 256, 1 << 22), (5, 300, 1000, 4, 1 << 22), (4, 200, 1000, 3, 40)],
 )
 def test_equals_the_definition(spark, monkeypatch, depth, block, part, blocks, items):
     """Also with several blocks to a group, and the groups' parts split again."""
-    monkeypatch.setattr(ctw, "BLOCK_BYTES", block)
+    groups = small_blocks(monkeypatch, block)
     monkeypatch.setattr(ctw, "PART_BYTES", part)
     monkeypatch.setattr(ctw, "GROUP_BLOCKS", blocks)
     monkeypatch.setattr(ctw, "PART_ITEMS", items)
@@ -93,6 +119,7 @@ def test_equals_the_definition(spark, monkeypatch, depth, block, part, blocks, i
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
         expected[i, out, len(w) + 1, sum(c[x] > 0 for x in w) + 1, n, round(base, 6)] += 1
     found = scored(spark, rows, depth)
+    assert (groups[0] > 3) == (blocks < 256)
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found) == expected
     by_text = {}
     for i, t, *_ in rows:
@@ -129,9 +156,12 @@ ctw_durable = ctw.durable
 
 def test_packed_rows_grow_with_the_input(spark, monkeypatch):
     """Four times the blocks do not make four times the rows a block."""
-    for name, value in {"BLOCK_BYTES": 2000, "PART_BYTES": 2000, "MOST_PARTS": 8, "GROUP_BLOCKS": 8, "PART_ITEMS": 4000, "MOST_CONTEXTS": 8}.items():
+    groups = small_blocks(monkeypatch, 2000)
+    for name, value in {"PART_BYTES": 2000, "MOST_PARTS": 8, "GROUP_BLOCKS": 8, "PART_ITEMS": 4000, "MOST_CONTEXTS": 8}.items():
         monkeypatch.setattr(ctw, name, value)
-    assert _rows_a_block(spark, monkeypatch, 400) < 1.3 * _rows_a_block(spark, monkeypatch, 100)
+    few, many = (_rows_a_block(spark, monkeypatch, n) for n in (150, 600))
+    assert 1 < groups[0] < groups[1]
+    assert many < 1.3 * few, (few, many)
 
 
 def test_without_training_texts_each_bit_is_even(spark):
