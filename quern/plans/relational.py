@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exact_avg, exact_sum, money, net_price
-from ..operators import interval_join, reachable, top_k
+from ..operators import interval_join, overlap_join, reachable, top_k
 from ..sources import durable, load, read, save, save_bucketed, scratch
 
 #: DuckDB's form of ``net_price``.
@@ -175,8 +175,8 @@ SHARED = {
     ),
     "having_counts": ("SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey HAVING count(*) > 35", ("lineitem",)),
     "recursive_reach": (
-        "WITH RECURSIVE r(n, p) AS (SELECT 0, 1 UNION ALL SELECT n + 1, p * 2 FROM r WHERE n < 20) SELECT n, p FROM r",
-        (),
+        "WITH RECURSIVE r(k, hops) AS (SELECT min(s_suppkey), 0 FROM supplier UNION ALL SELECT s_suppkey, hops + 1 FROM r JOIN supplier ON s_suppkey = 2 * k + 1) SELECT k, hops FROM r",
+        ("supplier",),
     ),
     "lateral_last_order": (
         "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 1) t",
@@ -199,6 +199,36 @@ def suppliers_within_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("node >= 0").select("source", F.col("node").alias("reached"), (F.col("hops") / 2).cast("int").alias("hops"))
 
 
+def _open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the days, counted from 1970, from the order to the last shipment (``ended`` is the day after)."""
+    last = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last"))
+    day = lambda c: F.unix_date(F.col(c).cast("date")).cast("long")
+    joined = load(spark, sf_dir, "orders").join(last, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.select("o_custkey", "o_orderkey", day("o_orderdate").alias("began"), (day("last") + 1).alias("ended"))
+
+
+def orders_open_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of orders of one customer that are open at the same time, and for how many days: intervals against intervals."""
+    orders = durable(_open_orders(spark, sf_dir))
+    one = orders.select("o_custkey", F.col("o_orderkey").alias("first"), F.col("began").alias("a"), F.col("ended").alias("b"))
+    two = orders.select("o_custkey", F.col("o_orderkey").alias("second"), F.col("began").alias("c"), F.col("ended").alias("d"))
+    met = overlap_join(one, two, ("a", "c"), ("b", "d"), ["o_custkey"]).where("first < second")
+    return met.select("o_custkey", "first", "second", (F.least("b", "d") - F.greatest("a", "c")).alias("days"))
+
+
+def open_orders_by_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that are open at some time of a campaign: one of a week, a month, a quarter or a year for each part of a promoted type.
+
+    Campaigns begin on a day that follows from the part; without an equality, lengths from days to years meet.
+    """
+    promoted = load(spark, sf_dir, "part").where("p_size % 10 = 0")
+    began = F.lit(9131).cast("long") + F.col("p_partkey") * 37 % 2400
+    length = F.element_at(F.array(*[F.lit(n) for n in (7, 30, 90, 365)]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    campaigns = promoted.select("p_partkey", began.alias("starts"), (began + length).alias("stops"))
+    met = overlap_join(_open_orders(spark, sf_dir), campaigns, ("began", "starts"), ("ended", "stops"))
+    return met.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("orders"), F.sum(F.least("ended", "stops") - F.greatest("began", "starts")).alias("days"))
+
+
 def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and lines as tables bucketed and sorted by order: joined and summed by order without an exchange."""
     name = f"quern_{uuid.uuid4().hex}"
@@ -236,9 +266,13 @@ QUERIES = {
     "format_round_trips": format_round_trips,
     "partitioned_orders": partitioned_orders,
     "suppliers_within_reach": suppliers_within_reach,
+    "orders_open_together": orders_open_together,
+    "open_orders_by_campaign": open_orders_by_campaign,
     "bucketed_join": bucketed_join,
 } | {name: _both(sql, *tables) for name, (sql, tables) in SHARED.items()}
 
+_OPEN = """SELECT o_custkey, o_orderkey, (o_orderdate::DATE - DATE '1970-01-01')::BIGINT AS began, (max(l_shipdate)::DATE - DATE '1970-01-01')::BIGINT + 1 AS ended
+        FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, o_orderkey, o_orderdate"""
 SQL = {
     "pricing_summary": f"""
         SELECT l_returnflag, l_linestatus, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS sum_qty, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS sum_price,
@@ -293,6 +327,16 @@ SQL = {
              r AS (SELECT min(s_suppkey) AS source, min(s_suppkey) AS reached, 0 AS hops FROM supplier GROUP BY s_nationkey
                    UNION SELECT source, b, hops + 1 FROM r JOIN links ON a = reached WHERE hops < 60)
         SELECT source, reached, min(hops)::INT AS hops FROM r GROUP BY ALL""",
+    "orders_open_together": f"""
+        WITH o AS ({_OPEN})
+        SELECT x.o_custkey, x.o_orderkey AS first, y.o_orderkey AS second, least(x.ended, y.ended) - greatest(x.began, y.began) AS days
+        FROM o x JOIN o y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND x.began < y.ended AND y.began < x.ended
+        WHERE x.began < x.ended AND y.began < y.ended""",
+    "open_orders_by_campaign": f"""
+        WITH o AS ({_OPEN}),
+             c AS (SELECT p_partkey, 9131 + p_partkey * 37 % 2400 AS starts, 9131 + p_partkey * 37 % 2400 + [7, 30, 90, 365][(p_partkey % 4 + 1)::INT] AS stops FROM part WHERE p_size % 10 = 0)
+        SELECT p_partkey, count(*) AS orders, sum(least(ended, stops) - greatest(began, starts))::BIGINT AS days
+        FROM o JOIN c ON began < stops AND starts < ended WHERE began < ended GROUP BY 1""",
     "bucketed_join": """
         SELECT o_orderkey, o_orderpriority, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS quantity, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL""",
 } | {name: sql for name, (sql, _) in SHARED.items()}
