@@ -2,13 +2,14 @@
 
 Most show how a function of one's own is made and used; built-in functions could
 say what these say, and their SQL does. ``thinned_events`` is for what they can't. Each group
-that goes to Python whole is bounded by its nature (the lines of one order); a table function gets its rows one by one.
+that goes to Python whole is bounded by its nature (the lines of one order). Such groups are small, so a call gets a part of many
+of them; a table function gets its rows one by one.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -18,6 +19,20 @@ from ..functions import micros
 from ..sources import load
 
 
+#: Rows of a part that goes to Python in one call, about.
+PART_ROWS = 1 << 16
+
+
+def _parts(key: str, rows: int) -> Column:
+    """The part of a row: whole groups of ``key`` are dealt to as many parts as make about ``PART_ROWS`` of ``rows`` rows each.
+
+    A call of a Python function costs more than the rows of a small group; there are as many calls as parts. Rows
+    without a key have a part of their own, so that keys stay whole numbers in pandas.
+    """
+    dealt = F.pmod(F.xxhash64(key), F.lit(max(1, -(-rows // PART_ROWS))))
+    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(dealt).alias("part")
+
+
 def row_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Python function of one value at a time."""
     initials = F.udf(lambda name: "".join(w[0] for w in name.split()), "string")
@@ -118,15 +133,19 @@ def grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cogrouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and their lines, brought together as two frames of one key."""
+    """Orders and their lines, brought together as two frames of one part of the orders."""
 
     def joined(orders: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-        cents = int((lines["l_extendedprice"] * 100).round().sum())
-        return pd.DataFrame({"o_orderkey": orders["o_orderkey"], "lines": len(lines), "cents": cents})
+        times = orders["o_orderkey"].value_counts(dropna=False)
+        cents = (lines["l_extendedprice"] * 100).round().astype("Int64")
+        found = cents.groupby(lines["l_orderkey"]).agg(["size", "sum"]).reindex(times.index, fill_value=0)
+        return pd.DataFrame({"o_orderkey": times.index, "lines": (found["size"] * times).to_numpy("int64"), "cents": (found["sum"] * times).to_numpy("int64")})
 
     orders = load(spark, sf_dir, "orders").select("o_orderkey")
-    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice")
-    return orders.groupBy("o_orderkey").cogroup(lines.groupBy("l_orderkey")).applyInPandas(joined, "o_orderkey long, lines long, cents long")
+    lines = load(spark, sf_dir, "lineitem").where("l_orderkey is not null").select("l_orderkey", "l_extendedprice")
+    rows = max(orders.count(), load(spark, sf_dir, "lineitem").count())
+    both = orders.groupBy(_parts("o_orderkey", rows)).cogroup(lines.groupBy(_parts("l_orderkey", rows)))
+    return both.applyInPandas(joined, "o_orderkey long, lines long, cents long")
 
 
 QUERIES = {

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from quern import plans
+from quern.plans import custom
+from quern.sources import load
 from tests.oracle import same
 
 SMALL = "/root/testdata/sf0.001"
@@ -16,3 +21,31 @@ def test_lateral_last_order_is_picked_in_an_order(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"row_number\(\) windowspecdefinition\(o_custkey#\d+L, o_orderdate#\d+ DESC NULLS LAST, o_orderkey#\d+L ASC", plan)
     same(found, SMALL, plans.SQL["lateral_last_order"])
+
+
+@pytest.fixture(scope="module")
+def odd_orders(spark, tmp_path_factory):
+    """Large keys beyond 2^53, a key twice, null keys on both sides, null prices and quantities, an order without lines."""
+    place, k = str(tmp_path_factory.mktemp("odd")), (1 << 60) + 1
+    spark.createDataFrame([(k,), (k + 1,), (k + 1,), (k + 2,), (None,), (3,)], "o_orderkey long").write.parquet(f"{place}/orders.parquet")
+    lines = [(k, 7, k, 1.25, 2.0), (k, 8, None, None, None), (k + 1, 1, 5, 10.1, 4.0), (k + 1, 2, 6, 0.07, 9.0), (k + 4, 1, 6, 3.0, 1.0), (None, 1, 4, 2.5, 3.0), (None, 2, 4, 2.5, 7.0), (3, 1, k, None, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_quantity double").write.parquet(f"{place}/lineitem.parquet")
+    return place
+
+
+def test_small_groups_go_to_python_many_at_a_time(spark, monkeypatch):
+    lines = load(spark, "/root/testdata/sf0.01", "lineitem")
+    dealt = lines.select("l_orderkey", custom._parts("l_orderkey", lines.count()))
+    assert dealt.select("part").distinct().count() == 1
+    monkeypatch.setattr(custom, "PART_ROWS", 1 << 12)
+    sizes = [r[0] for r in lines.groupBy(custom._parts("l_orderkey", lines.count())).count().select("count").collect()]
+    assert len(sizes) == 15 and max(sizes) < 2 << 12
+    parts = lines.select("l_orderkey", custom._parts("l_orderkey", lines.count())).groupBy("l_orderkey").agg(F.countDistinct("part").alias("n"))
+    assert parts.where("n != 1").count() == 0
+
+
+@pytest.mark.parametrize("rows", [1 << 16, 2])
+@pytest.mark.parametrize("name", ["cogrouped_map"])
+def test_parts_of_odd_orders(spark, odd_orders, monkeypatch, name, rows):
+    monkeypatch.setattr(custom, "PART_ROWS", rows)
+    same(plans.QUERIES[name](spark, odd_orders), odd_orders, plans.SQL[name])
