@@ -122,14 +122,15 @@ def sql_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line's share of its order, by a function of the order's lines as one frame."""
+    """Each line's share of its order, by a function of a part of the orders as one frame."""
 
     def shares(lines: pd.DataFrame) -> pd.DataFrame:
-        cents = (lines["l_extendedprice"] * 100).round().astype("int64")
-        return pd.DataFrame({"l_orderkey": lines["l_orderkey"], "l_linenumber": lines["l_linenumber"], "share": cents / cents.sum()})
+        cents = (lines["l_extendedprice"] * 100).round()
+        whole = cents.groupby(lines["l_orderkey"], dropna=False).transform("sum")
+        return pd.DataFrame({"l_orderkey": lines["l_orderkey"], "l_linenumber": lines["l_linenumber"], "share": cents / whole})
 
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return lines.groupBy("l_orderkey").applyInPandas(shares, "l_orderkey long, l_linenumber int, share double")
+    return lines.groupBy(_parts("l_orderkey", lines.count())).applyInPandas(shares, "l_orderkey long, l_linenumber int, share double")
 
 
 def cogrouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
