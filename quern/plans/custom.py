@@ -60,8 +60,17 @@ def _span(column: str):
 
 
 def aggregate_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pandas aggregate of each order's lines."""
-    return load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(_span("l_quantity").alias("span"))
+    """A pandas aggregate of each order's lines: largest less least quantity, for all orders of a part in one value."""
+
+    @F.pandas_udf("array<struct<l_orderkey:long,span:double>>")
+    def spans(orders: pd.Series, values: pd.Series) -> list:
+        found = values.groupby(orders, dropna=False).agg(["max", "min"])
+        keys = [None if pd.isna(k) else int(k) for k in found.index]
+        return [{"l_orderkey": k, "span": None if pd.isna(v) else v} for k, v in zip(keys, (found["max"] - found["min"]).tolist(), strict=True)]
+
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
+    found = lines.groupBy(_parts("l_orderkey", lines.count())).agg(spans("l_orderkey", "l_quantity").alias("spans"))
+    return found.select(F.inline("spans"))
 
 
 def window_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
