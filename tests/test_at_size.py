@@ -45,7 +45,7 @@ def test_small_groups_go_to_python_many_at_a_time(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("rows", [1 << 16, 2])
-@pytest.mark.parametrize("name", ["cogrouped_map", "grouped_map", "aggregate_udf"])
+@pytest.mark.parametrize("name", ["cogrouped_map", "grouped_map", "aggregate_udf", "window_udf"])
 def test_parts_of_odd_orders(spark, odd_orders, monkeypatch, name, rows):
     monkeypatch.setattr(custom, "PART_ROWS", rows)
     same(plans.QUERIES[name](spark, odd_orders), odd_orders, plans.SQL[name])
