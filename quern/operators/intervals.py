@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import durable
 from .ranges import quoted, unused
 
 #: Levels beyond which lengths are no longer told apart, and the largest double: infinite ends are taken for it.
@@ -62,3 +64,36 @@ def overlap_join(left: DataFrame, right: DataFrame, begin: tuple[str, str], end:
     meets = (x < v) & (y < u) & (F.greatest(f"{level}_a", f"{level}_b") == F.col(f"{level}_at"))
     begins = F.col(cell) == F.greatest(_cell(x, F.col(f"{level}_at")), _cell(y, F.col(f"{level}_at")))
     return joined.where(meets & begins).drop(f"{level}_at", f"{level}_a", f"{level}_b", cell)
+
+
+def overlap_totals(left: DataFrame, right: DataFrame, begin: tuple[str, str], end: tuple[str, str], met: str = "met", shared: str = "shared") -> DataFrame:
+    """Right intervals with the number of left ones that overlap them, if any, and the sum of the lengths that they share.
+
+    What ``overlap_join`` gives, counted and summed for each right row without making the pairs: those begun before its end less those ended
+    by its begin have met it, and the time that all have been open by its end less that by its begin is shared. Both are running totals
+    over ends. Ends are whole numbers (long) of which few are distinct, as days are: a row for each goes through one window, and is
+    looked up by each right row. Empty and reversed intervals, and those with a null end, overlap nothing.
+    """
+    a, b = (F.col(quoted(c)) for c in (begin[0], end[0]))
+    x, y = (F.col(quoted(c)) for c in (begin[1], end[1]))
+
+    def ends(df: DataFrame, p: Column, q: Column, times: Column) -> DataFrame:
+        """A row for each end, with how many intervals begin and end there."""
+        counted = df.where(p < q).groupBy(p.cast("long").alias("p"), q.cast("long").alias("q")).agg(F.count(F.lit(1)).alias("n"))
+        none = F.lit(0).cast("long")
+        both = F.array(F.struct(F.col("p").alias("at"), times.alias("begun"), none.alias("ended")), F.struct(F.col("q").alias("at"), none.alias("begun"), times.alias("ended")))
+        return counted.select(F.explode(both).alias("e")).select("e.*")
+
+    marks = ends(left, a, b, F.col("n")).union(ends(right, x, y, F.col("n") * 0))
+    marks = marks.groupBy("at").agg(F.sum("begun").alias("begun"), F.sum("ended").alias("ended"))
+    until = W.orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    open_now = F.sum(F.col("begun") - F.col("ended")).over(until)
+    since = F.sum(F.col("at") * (F.col("begun") - F.col("ended"))).over(until)
+    before = F.sum("begun").over(until) - F.col("begun")
+    marks = durable(marks.select("at", before.alias("before"), F.sum("ended").over(until).alias("over"), (F.col("at") * open_now - since).alias("passed")))
+    first, last = unused("first", right), unused("last", right)
+    low = marks.select(F.col("at").alias(f"{first}_at"), F.struct("over", "passed").alias(first))
+    high = marks.select(F.col("at").alias(f"{last}_at"), F.struct("before", "passed").alias(last))
+    told = right.where(x < y).join(low, x == F.col(f"{first}_at")).join(high, y == F.col(f"{last}_at"))
+    told = told.withColumns({met: F.col(last)["before"] - F.col(first)["over"], shared: F.col(last)["passed"] - F.col(first)["passed"]})
+    return told.where(F.col(quoted(met)) > 0).drop(first, last, f"{first}_at", f"{last}_at")

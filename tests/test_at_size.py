@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern import plans
+from quern.operators import overlap_totals
 from quern.plans import custom
 from quern.sources import load
 from tests.oracle import same
@@ -49,3 +51,23 @@ def test_small_groups_go_to_python_many_at_a_time(spark, monkeypatch):
 def test_parts_of_odd_orders(spark, odd_orders, monkeypatch, name, rows):
     monkeypatch.setattr(custom, "PART_ROWS", rows)
     same(plans.QUERIES[name](spark, odd_orders), odd_orders, plans.SQL[name])
+
+
+def test_overlaps_are_counted_without_pairs(spark):
+    rng = random.Random(3)
+    draw = lambda n: [(rng.randrange(-40, 40), rng.randrange(-40, 60)) for _ in range(n)] + [(None, 3), (4, None), (5, 5), (2, 9), (2, 9)]
+    left, right = draw(60), draw(40)
+    found = overlap_totals(spark.createDataFrame(left, "a long, b long"), spark.createDataFrame(right, "first int, last int"), ("a", "first"), ("b", "last"))
+    assert found.columns == ["first", "last", "met", "shared"]
+    sound = lambda rows: [r for r in rows if None not in r and r[0] < r[1]]
+    wanted = []
+    for x, y in sound(right):
+        shared = [min(b, y) - max(a, x) for a, b in sound(left) if a < y and x < b]
+        wanted += [(x, y, len(shared), sum(shared))] if shared else []
+    assert sorted(tuple(r) for r in found.collect()) == sorted(wanted)
+
+
+def test_campaigns_are_not_joined_with_orders(spark):
+    """No join of the plan has conditions beyond equalities of days, so its rows do not grow with pairs."""
+    plan = plans.QUERIES["open_orders_by_campaign"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and all("<" not in line for line in plan.splitlines() if "Join" in line)
