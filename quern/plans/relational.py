@@ -242,13 +242,23 @@ def open_orders_by_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("p_partkey").agg(F.sum("orders").alias("orders"), F.sum("days").alias("days"))
 
 
+#: Rows of a bucket, about, and the fewest buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 1 << 20, 8
+
+
 def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and lines as tables bucketed and sorted by order: joined and summed by order without an exchange."""
+    """Orders and lines as tables bucketed and sorted by order: joined and summed by order without an exchange.
+
+    There are as many buckets as make about ``BUCKET_ROWS`` rows of the larger table each, so what a task sorts does not grow with the tables
+    (up to Spark's bound of ``spark.sql.sources.bucketing.maxBuckets``, 100,000).
+    """
     name = f"quern_{uuid.uuid4().hex}"
     tables = {f"{name}_orders": ("orders", "o_orderkey", ["o_orderkey", "o_orderpriority"]), f"{name}_lines": ("lineitem", "l_orderkey", ["l_orderkey", "l_quantity"])}
+    most = max(load(spark, sf_dir, source).count() for source, _, _ in tables.values())
+    buckets = max(LEAST_BUCKETS, -(-most // BUCKET_ROWS))
     try:
         for table, (source, key, columns) in tables.items():
-            save_bucketed(load(spark, sf_dir, source).select(*columns), table, [key], buckets=8)
+            save_bucketed(load(spark, sf_dir, source).select(*columns), table, [key], buckets)
         return durable(bucketed_sums(spark, *tables))
     finally:
         for table in tables:

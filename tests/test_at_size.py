@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern import plans
 from quern.operators import overlap_totals
-from quern.plans import custom
+from quern.plans import custom, relational
 from quern.sources import load
 from tests.oracle import same
 
@@ -71,3 +71,12 @@ def test_campaigns_are_not_joined_with_orders(spark):
     """No join of the plan has conditions beyond equalities of days, so its rows do not grow with pairs."""
     plan = plans.QUERIES["open_orders_by_campaign"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "lineitem" not in plan and all("<" not in line for line in plan.splitlines() if "Join" in line)
+
+
+def test_buckets_grow_with_the_tables(spark, monkeypatch):
+    written = []
+    save = relational.save_bucketed
+    monkeypatch.setattr(relational, "BUCKET_ROWS", 400)
+    monkeypatch.setattr(relational, "save_bucketed", lambda df, table, keys, buckets: (written.append(buckets), save(df, table, keys, buckets)))
+    same(plans.QUERIES["bucketed_join"](spark, SMALL), SMALL, plans.SQL["bucketed_join"])
+    assert written == [15, 15]  # 6,000 lines
