@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern import plans
-from quern.operators import overlap_totals
+from quern.operators import overlap_totals, reach
 from quern.plans import custom, relational
 from quern.sources import load
 from tests.oracle import same
@@ -80,3 +80,16 @@ def test_buckets_grow_with_the_tables(spark, monkeypatch):
     monkeypatch.setattr(relational, "save_bucketed", lambda df, table, keys, buckets: (written.append(buckets), save(df, table, keys, buckets)))
     same(plans.QUERIES["bucketed_join"](spark, SMALL), SMALL, plans.SQL["bucketed_join"])
     assert written == [15, 15]  # 6,000 lines
+
+
+def test_a_long_way_takes_fewer_rounds_than_hops(spark, monkeypatch):
+    """A chain of 40 nodes with a cycle at its end and a short cut: least hops, whatever is met twice within a round."""
+    links = [(n, n + 1) for n in range(40)] + [(40, 36), (3, 10), (1, 0)]
+    cuts = []
+    cut = reach.durable
+    monkeypatch.setattr(reach, "durable", lambda df: cuts.append(1) or cut(df))
+    found = reach.reachable(spark.createDataFrame([(0,)], "s long"), spark.createDataFrame(links, "a long, b long"), "s", "a", "b")
+    wanted = {(0, n, n if n < 4 or n < 10 else n - 6) for n in range(41)}
+    assert {tuple(r) for r in found.collect()} == wanted and len(cuts) < 20
+    some = reach.reachable(spark.createDataFrame([(0,)], "s long"), spark.createDataFrame(links, "a long, b long"), "s", "a", "b", 6)
+    assert {tuple(r) for r in some.collect()} == {w for w in wanted if w[2] <= 6}
