@@ -34,10 +34,14 @@ class Visits(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "at long")
         self.told = handle.getMapState("told", "kind string", "n long")
 
-    def _tell(self, key: tuple, run: tuple) -> pd.DataFrame:
+    def _told(self, key: tuple, runs: list[tuple]) -> Iterator[pd.DataFrame]:
+        """The runs that are over, as one frame; their places go on from those told before."""
+        if not runs:
+            return
         before = self.told.getValue(("runs",))[0] if self.told.containsKey(("runs",)) else 0
-        self.told.updateValue(("runs",), (before + 1,))
-        return pd.DataFrame({"user_id": [key[0]], "begin": [run[0]], "last": [run[1]], "n": [run[2]], "place": [before]})
+        self.told.updateValue(("runs",), (before + len(runs),))
+        begin, last, n = zip(*runs, strict=True)
+        yield pd.DataFrame({"user_id": [key[0]] * len(runs), "begin": begin, "last": last, "n": n, "place": range(before, before + len(runs))})
 
     def _timer_at(self, at: int | None) -> None:
         for timer in list(self.handle.listTimers()):
@@ -49,17 +53,17 @@ class Visits(StatefulProcessor):
     def _settled(self, key: tuple, upto: int) -> Iterator[pd.DataFrame]:
         """Take waiting rows up to a time, in order, into runs; tell those that are over."""
         waiting = sorted(r[0] for r in self.waiting.get()) if self.waiting.exists() else []
-        run = tuple(self.run.get()) if self.run.exists() else None
+        run, over = tuple(self.run.get()) if self.run.exists() else None, []
         for at in waiting:
             if at > upto:
                 break
             if run is not None and at - run[1] >= self.gap:
-                yield self._tell(key, run)
+                over.append(run)
                 run = None
             run = (at, at, 1) if run is None else (run[0], at, run[2] + 1)
         rest = [at for at in waiting if at > upto]
         if run is not None and run[1] + self.gap <= upto:
-            yield self._tell(key, run)
+            over.append(run)
             run = None
         if rest:
             self.waiting.put([(at,) for at in rest])
@@ -71,6 +75,7 @@ class Visits(StatefulProcessor):
             self.run.update(run)
         ends = ([run[1] + self.gap] if run is not None else []) + rest[:1]
         self._timer_at(min(ends) if ends else None)
+        yield from self._told(key, over)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         for frame in rows:

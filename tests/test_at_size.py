@@ -12,6 +12,7 @@ from quern import plans
 from quern.operators import overlap_totals, reach
 from quern.plans import custom, relational
 from quern.sources import load
+from quern.streaming import stateful
 from tests.oracle import same
 
 SMALL = "/root/testdata/sf0.001"
@@ -93,3 +94,15 @@ def test_a_long_way_takes_fewer_rounds_than_hops(spark, monkeypatch):
     assert {tuple(r) for r in found.collect()} == wanted and len(cuts) < 20
     some = reach.reachable(spark.createDataFrame([(0,)], "s long"), spark.createDataFrame(links, "a long, b long"), "s", "a", "b", 6)
     assert {tuple(r) for r in some.collect()} == {w for w in wanted if w[2] <= 6}
+
+
+def test_visits_of_a_user_that_end_together_are_told_in_one_frame():
+    class Held(dict):
+        containsKey, getValue, updateValue = dict.__contains__, dict.__getitem__, dict.__setitem__  # noqa: N815
+
+    visits = stateful.Visits(10)
+    visits.told = Held()
+    (first,) = visits._told((7,), [(0, 5, 2), (20, 20, 1)])
+    (second,) = visits._told((7,), [(40, 41, 3)])
+    assert first.values.tolist() == [[7, 0, 5, 2, 0], [7, 20, 20, 1, 1]] and second.values.tolist() == [[7, 40, 41, 3, 2]]
+    assert list(visits._told((7,), [])) == []
