@@ -73,9 +73,11 @@ def _streamed(spark: SparkSession, sf_dir: str, build: Build, mode: str = "appen
     """Run a streaming query over the events table and give what it wrote; its state is deleted.
 
     The table may be a file or a directory of files: the pattern matches its name alone, and a stream takes either from it.
+    A table's files are in no order of time, so all of them arrive at once: one by one, a late one's rows would be dropped.
     """
     with scratch(spark) as place:
-        stream = streaming.timed(streaming.arriving(spark, f"{sf_dir}/events.parque[t]", load(spark, sf_dir, "events").schema))
+        stream = streaming.arriving(spark, f"{sf_dir}/events.parque[t]", load(spark, sf_dir, "events").schema, files_a_trigger=1 << 30)
+        stream = streaming.timed(stream)
         return durable(streaming.drained(build(stream), mode, f"{place}/state", f"{place}/out"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import shutil
 from pathlib import Path
 
@@ -37,6 +38,15 @@ def test_a_table_that_is_a_directory(spark, directory, name):
     same(found, SMALL, plans.SQL[name])
 
 
+@pytest.mark.parametrize("name", STREAMS)
+def test_files_in_another_order_than_their_rows(spark, directory, tmp_path, name):
+    """The file with the last events is the oldest; no event of the others is late by that."""
+    place = shutil.copytree(directory, tmp_path / "tables")
+    for age, path in enumerate(sorted((place / "events.parquet").glob("part-*"), reverse=True)):
+        os.utime(path, (1_700_000_000 + 60 * age,) * 2)
+    same(plans.QUERIES[name](spark, str(place)), SMALL, plans.SQL[name])
+
+
 @pytest.mark.parametrize("name", [*STREAMS, "tumbling", "sliding", "moving_sums", "user_sessions", "as_of_purchase"])
 def test_another_time_zone(spark, name):
     """Wall clocks are what they are, also where clocks are changed."""
