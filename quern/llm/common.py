@@ -12,7 +12,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import durable
+from ..sources import durable, read, save
 
 SLICE_BYTES = 8 << 20
 #: Small rows (ids, hashes, edges) that a file of a cut holds, about.
@@ -55,6 +55,17 @@ def settled(df: DataFrame, rows: int | None) -> DataFrame:
     return durable(df.coalesce(clamp_partitions(rows, ROWS_A_FILE, least)))
 
 
+def rewritten(df: DataFrame, place: str, rows: int | None) -> DataFrame:
+    """Like ``settled``, but written to the folder ``place`` and read back: the cut for rounds that join what earlier rounds cut.
+
+    A checkpoint keeps the size that its plan was guessed to have, and a join's is the product of its sides': over rounds, the
+    digits of that number double with each join, until they fill the driver. What is read back has the size of its files.
+    """
+    least = 2 * df.sparkSession.sparkContext.defaultParallelism
+    save(df if rows is None else df.coalesce(clamp_partitions(rows, ROWS_A_FILE, least)), place)
+    return read(df.sparkSession, place, "parquet", df.schema)
+
+
 def min_by_key(df: DataFrame, key: str, value: Column, name: str, rows: int) -> DataFrame:
     """Attach to each of about ``rows`` rows the least ``value`` of its ``key``.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import min_by_key, settled
+from ..sources import scratch
+from .common import min_by_key, rewritten, settled
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,7 +27,7 @@ def _small_star(edges: DataFrame, size: int) -> DataFrame:
     known = min_by_key(edges, "u", F.col("v"), "least", size)
     moved = F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v"))))
     out = known.select(moved.alias("e")).select("e.u", "e.v").where(F.col("u") > F.col("v"))
-    return settled(out.distinct(), size)
+    return out.distinct()
 
 
 def connected_components(edges: DataFrame, a: str, b: str, rows: int | None = None) -> DataFrame:
@@ -37,13 +38,17 @@ def connected_components(edges: DataFrame, a: str, b: str, rows: int | None = No
     only their number and checksum reach the driver. A hub's edges are combined
     before the shuffle, and adaptive execution may split them in the join.
     ``rows`` is about the number of edges, if known; with it the number of files
-    of the first cut grows, as that of later ones does with the edges left.
+    of the first cut grows, as that of later ones does with the edges left. A
+    round's edges are written over those of the last but one.
     """
     x, y = F.col(a), F.col(b)
-    now = settled(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), rows)
-    before, state = None, _state(now)
-    while state != before:
-        now = _small_star(_large_star(now, state[0]), state[0])
-        before, state = state, _state(now)
+    with scratch(edges.sparkSession) as place:
+        now = rewritten(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), f"{place}/0", rows)
+        before, state, n = None, _state(now), 0
+        while state != before:
+            n += 1
+            now = rewritten(_small_star(_large_star(now, state[0]), state[0]), f"{place}/{n % 2}", state[0])
+            before, state = state, _state(now)
+        now = settled(now, state[0])
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

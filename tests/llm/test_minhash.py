@@ -80,3 +80,11 @@ def test_components_of_chains_stars_and_loops(spark):
 
 def test_components_of_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
+
+
+def test_rounds_leave_no_growing_guess_of_size(spark):
+    """A join's size is guessed as the product of its sides': carried on over the rounds, that number's digits would double with each join."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "x long, y long")
+    found = connected_components(edges, "x", "y", 300)
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000
+    assert found.where("root = 0").count() == 301
